@@ -1,10 +1,70 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, PII, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, PII, packing.
 
-from minewright.llm import queries  # noqa: F401
+Each stage takes what its predecessor kept, and all but the last return the
+columns of documents.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from minewright.llm import decontaminate, minhash_dedup, packing, pii, toxicity
+from minewright.llm.queries import vocabulary
+from minewright.runtime import scratch_root, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    return toxicity.drop_toxic(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is alike in five-word shingles."""
+    groups = minhash_dedup.near_duplicates(docs, words=5, percent=80)
+    gone = groups.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    return decontaminate.drop_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced."""
+    clean = pii.sanitise(docs.select(COLUMNS), with_text=True)
+    text = F.col("sanitised")
+    return clean.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", sanitise),
+    ("packing", pack),
+]
+
+#: No SQL can express the trained classifier or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    home = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        path = f"{home}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -221,6 +221,35 @@ def _by_join(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFra
     )
 
 
+def _keep(batches: Iterator[pa.RecordBatch], index: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in tc.chunks(batches):
+        w = tc.words(batch.column("text"), tc.ALNUM, lower=True)
+        starts = index.value.hits(w)[0]
+        keep = np.ones(batch.num_rows, bool)
+        keep[np.searchsorted(w.docs, starts, "right") - 1] = False
+        yield batch.filter(pa.array(keep))
+
+
+def _index(benchmark: DataFrame, span: int, gram: int, broadcast_chars: int) -> tuple[DataFrame, Broadcast | None]:
+    """Rows of the items' windows, and their index if it is small enough to broadcast."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    rows = items.mapInArrow(partial(_item_rows, span=span, gram=gram), _ITEMS)
+    if chars > broadcast_chars:
+        return materialize(rows, "decon-index"), None
+    return rows, benchmark.sparkSession.sparkContext.broadcast(Index(rows.toArrow(), span, gram))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The rows of docs, all columns, in which contamination() finds no item."""
+    ship_package(docs.sparkSession)
+    rows, index = _index(benchmark, span, gram, broadcast_chars)
+    if index is not None:
+        return docs.mapInArrow(partial(_keep, index=index), docs.schema)
+    hit = _by_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, span, gram).where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Find the items of `benchmark` (item_id, text) inside `docs` (doc_id, text).
 
@@ -239,16 +268,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     broadcast_chars characters, and joined by shuffles otherwise; documents
     are read once and, in the first case, not shuffled.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    rows = items.mapInArrow(partial(_item_rows, span=span, gram=gram), _ITEMS)
-    if chars > broadcast_chars:
-        index = materialize(rows, "decon-index")
-        return _by_join(docs, index, span, gram)
-    index = spark.sparkContext.broadcast(Index(rows.toArrow(), span, gram))
+    rows, index = _index(benchmark, span, gram, broadcast_chars)
+    if index is None:
+        return _by_join(docs, rows, span, gram)
     return docs.mapInArrow(partial(_scan, index=index), "doc_id long, n_words long, n_hit long, n_items long, items array<long>")
 
 

@@ -165,9 +165,7 @@ def disclosures(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, t
     seen = docs.select("text").mapInArrow(partial(_contexts, window=window), "entity long, term long, context long")
     pairs = materialize(seen.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {support}"), "pii-pairs")
     entities = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
-    both = pairs.where("term <> 0").join(entities, "entity")
-    # A term in fewer than half of an entity's contexts says little of it.
-    both = materialize(both.where("2 * n >= n_entity"), "pii-both")
+    both = materialize(pairs.where("term <> 0").join(entities, "entity"), "pii-both")
     terms = both.select("term").distinct()
     wanted = None
     if both.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -181,7 +179,6 @@ def disclosures(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, t
         counts = counts.join(terms, "term", "left_semi")
     df = counts.groupBy("term").agg(F.sum("df").alias("df"))
     n = max(1, docs.count())
-    # Of the documents with the term, at most n_pair more contexts than documents can hold the entity.
     information = F.log(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log(F.col("n") / F.col("n_entity") * n / F.greatest("df", "n"))
     scored = both.join(df, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))

@@ -184,3 +184,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
     model = spark.sparkContext.broadcast(train(docs, labels, fold("doc_id", modulus, remainder), per_class=per_class))
     given = docs.select("doc_id", fold("doc_id", modulus, remainder).alias("held_out"), "text")
     return given.mapInArrow(partial(_apply, model=model), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in tc.chunks(batches):
+        yield batch.filter(pa.array(model.value.score(batch.column("text"))[0] < CUT))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs, all columns, that score_toxicity doesn't predict 1 for."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    model = spark.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fold("doc_id", modulus, remainder), per_class=per_class))
+    return docs.mapInArrow(partial(_keep, model=model), docs.schema)
