@@ -150,7 +150,7 @@ def _filters(batches: Iterator[pa.RecordBatch], plans: dict[int, tuple[float, in
                 )
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Indices of links that connect all that the links (a, b) connect."""
     root, keep = list(range(n)), []
 
@@ -196,7 +196,7 @@ def _tile(rows: pa.Table, left: int, right: int, cosine: float) -> pa.Table | No
         return None
     count = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
     has = np.flatnonzero(count)
-    tree = _forest(i, j, len(rep))
+    tree = forest(i, j, len(rep))
     return pa.table(
         {
             "a": np.concatenate([rep[has], rep[i[tree]]]),

@@ -6,13 +6,15 @@ evaluations; both collide with probability equal to the Jaccard similarity.
 Bands of `rows` values (half minima, half maxima) are join keys.
 
 Documents with equal sets are one class, of which the smallest id stands for
-all. Within a bucket, members are not paired with each other: each is compared
-with the bucket's centre on full sets, and what is linked forms components.
-Only members of a bucket that are in different components after that are
-compared further, and of those the triangle inequality of the Jaccard distance
-(from both distances to the centre) and the set sizes rule out nearly all
-without a look at the texts. So no link between two components is lost, and a
-group of thousands of copies costs a comparison each.
+all. Members of a bucket are not paired with each other: each is compared with
+the bucket's centre (its member that shares most buckets with others) on full
+sets. Those linked to the centre are connected through it. A member x that
+isn't could still be linked to another one, y; as both were compared with the
+centre, the size of their symmetric difference follows from their differences
+to the centre, |x-y| = |Dx| + |Dy| - 2 |Dx and Dy|. So the unlinked members are
+held, as a query set in blocks, against all members with the same centre by
+these short differences alone. That is exact, each family of copies is treated
+once however many buckets it shares, and only links leave the block.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
+from minewright.llm.embedding_dedup import forest
 from minewright.operators.components import connected_components
 from minewright.runtime import discard, materialize, ship_package
 
@@ -34,6 +37,8 @@ PERCENT = 80
 BANDS = 32
 ROWS = 4
 SEED = 20240229
+#: Documents on either side of a block.
+TILE = 1024
 
 
 def _sets(w: tc.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Sizes of intersection and union of the two texts of each row."""
+    """Sizes of intersection and union of the sets of a and its centre b, and their symmetric difference."""
     for batch in tc.chunks(batches, "text_b", tc.CHUNK_BYTES // 2):
         one, at1 = _sets(tc.words(batch.column("text_a"), lower=True), k)
         two, at2 = _sets(tc.words(batch.column("text_b"), lower=True), k)
@@ -103,20 +108,111 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         gram = np.concatenate([one, two])
         order = np.lexsort((gram, doc))
         doc, gram = doc[order], gram[order]
-        same = doc[1:][(doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1])]
-        common = np.bincount(same, minlength=n)
+        same = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1])
+        common = np.bincount(doc[1:][same], minlength=n)
         union = np.diff(at1) + np.diff(at2) - common
+        alone = np.ones(len(doc), bool)
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        cuts = np.searchsorted(doc[alone], np.arange(n + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(common.astype(np.int64)), pa.array(union.astype(np.int64))],
-            ["a", "b", "common", "total"],
+            [
+                batch.column("a"),
+                batch.column("b"),
+                pa.array(np.diff(at1).astype(np.int64)),
+                pa.array(common.astype(np.int64)),
+                pa.array(union.astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram[alone].view(np.int64))),
+            ],
+            ["a", "b", "size", "common", "total", "delta"],
         )
 
 
 def _measure(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with the sizes of intersection and union of their full sets."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_compare, k=k), "a long, b long, common long, total long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(
+        partial(_compare, k=k), "a long, b long, size long, common long, total long, delta array<long>"
+    )
+
+
+def _links(rows: pa.Table, percent: int) -> pa.Table | None:
+    """Links between the seeking rows of a block and its other rows, as a spanning forest."""
+    doc, size, seek = rows.column("a").to_numpy(), rows.column("size").to_numpy(), rows.column("seek").to_numpy()
+    lists = rows.column("delta").combine_chunks()
+    length = lists.value_lengths().to_numpy().astype(np.int64)
+    names, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(doc)), length)
+    p, q = np.flatnonzero(seek), np.flatnonzero(~seek)
+    if not len(p) or not len(q):
+        return None
+    # Only what is in a difference on both sides can be common to two.
+    use = np.flatnonzero((np.bincount(column[seek[owner]], minlength=len(names)) > 0) & (np.bincount(column[~seek[owner]], minlength=len(names)) > 0))
+    place = np.full(len(names), -1)
+    place[use] = np.arange(len(use))
+    column = place[column]
+    common = np.zeros((len(p), len(q)), np.float32)
+    row = np.empty(len(doc), np.int64)
+    row[p], row[q] = np.arange(len(p)), np.arange(len(q))
+    for lo in range(0, len(use), 2048):
+        own = (column >= lo) & (column < lo + 2048)
+        side = []
+        for has, n in ((own & seek[owner], len(p)), (own & ~seek[owner], len(q))):
+            x = np.zeros((n, min(2048, len(use) - lo)), np.float32)
+            x[row[owner[has]], column[has] - lo] = 1
+            side.append(x)
+        common += side[0] @ side[1].T
+    apart = length[p][:, None] + length[q][None, :] - 2 * common.astype(np.int64)
+    total = size[p][:, None] + size[q][None, :]
+    # 100 * (total - apart) / 2 >= percent * (total + apart) / 2
+    i, j = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (doc[p][:, None] != doc[q][None, :]))
+    if not len(i):
+        return None
+    names, back = np.unique(np.concatenate([doc[p][i], doc[q][j]]), return_inverse=True)
+    tree = forest(back[: len(i)], back[len(i) :], len(names))
+    return pa.table({"src": doc[p][i][tree], "dst": doc[q][j][tree]})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (b, left, right), a block each."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            found = _links(pa.Table.from_batches(held), percent)
+            if found is not None:
+                yield from found.to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("b", "left", "right")], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            now = tuple(keys[lo].tolist())
+            if now != key:
+                yield from done()
+                held, key = [], now
+            held.append(batch.slice(lo, hi - lo))
+    yield from done()
+
+
+def _beyond_stars(star: DataFrame, linked: str, percent: int) -> DataFrame:
+    """Links (src, dst) of members that aren't linked to their centre b, among all with that centre."""
+    sizes = star.groupBy("b").agg(F.count(F.lit(1)).alias("all"), F.sum(F.expr(f"int(not ({linked}))")).alias("open"))
+    sizes = materialize(sizes.where("open > 0 and all > 1"), "mm-families")
+    rows = star.select("a", "b", "size", "delta", F.expr(f"not ({linked})").alias("unlinked")).join(sizes, "b")
+    tiles = rows.withColumn("across", F.ceil(F.col("all") / TILE).cast("int")).withColumn("down", F.ceil(F.col("open") / TILE).cast("int"))
+    spot = F.xxhash64("a")
+    seeking = tiles.where("unlinked").select(
+        "a", "b", "size", "delta", F.lit(True).alias("seek"), F.pmod(spot, F.col("down")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("right")
+    )
+    sought = tiles.select(
+        "a", "b", "size", "delta", F.lit(False).alias("seek"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("left"), F.pmod(spot, F.col("across")).cast("int").alias("right")
+    )
+    dealt = seeking.unionByName(sought).repartition("b", "left", "right").sortWithinPartitions("b", "left", "right")
+    return dealt.mapInArrow(partial(_blocks, percent=percent), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -152,44 +248,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", F.col("n_shingles").alias("size"))
     keyed = usable.join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "size", F.explode("bands").alias("bucket"))
     keyed = materialize(keyed, "mm-keyed")
-    crowd = keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
-    crowd = crowd.where("centre < last").select("bucket", "centre")
+    crowd = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mm-crowd")
     shared = materialize(keyed.join(crowd, "bucket"), "mm-buckets")
     discard(keyed)
-    ids = shared.select("doc_id").distinct()
-    texts = materialize(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), "mm-texts")
-
-    star = shared.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    first = materialize(_measure(star, texts, words), "mm-star")
+    mass = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("mass")), "mm-mass")
+    texts = materialize(docs.join(mass.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "mm-texts")
+    rank = F.struct(F.col("mass"), -F.col("doc_id"))
+    placed = materialize(shared.join(mass, "doc_id").select("bucket", "doc_id", rank.alias("rank")), "mm-placed")
+    centre = placed.groupBy("bucket").agg(F.max("rank").alias("top"))
+    centre = materialize(centre.select("bucket", (-F.col("top").getField("col2")).alias("centre")), "mm-centres")
+    pairs = placed.join(centre, "bucket").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    star = materialize(_measure(pairs, texts, words), "mm-star")
+    discard(shared, placed, texts)
     linked = f"100 * common >= {percent} * total"
-    links = first.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = materialize(connected_components(links), "mm-groups")
-
-    # Members of a bucket that the stars left in different components.
-    placed = shared.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    far = first.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("total")).alias("away"))
-    placed = materialize(
-        placed.join(apart, "bucket", "left_semi").join(far, ["doc_id", "centre"], "left").fillna(0.0, ["away"]), "mm-placed"
-    )
-    limit = 1 - percent / 100 + 1e-9
-    one, two = placed.alias("p"), placed.alias("q")
-    rest = one.join(
-        two,
-        (F.col("p.bucket") == F.col("q.bucket"))
-        & (F.col("p.doc_id") > F.col("q.doc_id"))
-        & (F.col("p.component") != F.col("q.component"))
-        & (F.col("q.doc_id") != F.col("q.centre"))
-        & (F.abs(F.col("p.away") - F.col("q.away")) <= limit)
-        & (F.col("p.away") + F.col("q.away") > 0)
-        & (100 * F.least("p.size", "q.size") >= percent * F.greatest("p.size", "q.size")),
-    )
-    rest = rest.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
-    second = materialize(_measure(rest, texts, words).where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")), "mm-second")
-    discard(texts, placed, shared, first)
-
-    edges = copies.union(groups.where("node <> component").toDF("src", "dst")).union(second)
+    near = star.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = materialize(_beyond_stars(star, linked, percent), "mm-more")
+    edges = copies.union(near).union(more)
     label = connected_components(edges)
     out = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
