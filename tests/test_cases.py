@@ -158,5 +158,6 @@ def test_stream_windows_match_batch(spark, tmp_path):
     stream = windows.stream_statistics(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "1 hour")
     run = stream.writeStream.outputMode("complete").format("memory").queryName("stats").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     run.awaitTermination(120)
-    key = lambda r: r.start
-    assert sorted(spark.table("stats").collect(), key=key) == sorted(windows.window_statistics(df, "1 hour", fill=False).collect(), key=key)
+    # Sums of a stream are taken in another order.
+    rows = lambda df: sorted((*r[:4], round(r.std, 9), *r[5:]) for r in df.collect())
+    assert rows(spark.table("stats")) == rows(windows.window_statistics(df, "1 hour", fill=False))
