@@ -226,6 +226,10 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
 
+#: Columns of the result, and those of a batch that aren't carried along.
+_OWN = ("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised", "text", "flagged", "text_key")
+
+
 def _apply(batches: Iterator[pa.RecordBatch], flagged: Broadcast | None, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in tc.chunks(batches):
         texts = _texts(batch)
@@ -256,7 +260,7 @@ def _apply(batches: Iterator[pa.RecordBatch], flagged: Broadcast | None, with_te
         columns += [pa.array([hashlib.sha256(_join(b).encode()).hexdigest() for b in base]), pa.array([_join([s[:3] for s in x]) for x in every], pa.string())]
         names += ["base_sha256", "spans"]
         if with_text:
-            carried = [c for c in batch.schema.names if c not in ("doc_id", "text", "flagged")]
+            carried = [c for c in batch.schema.names if c not in _OWN]
             columns += [batch.column(c) for c in carried]
             names += carried
             given = batch.column("text").is_null().to_pylist()
@@ -285,8 +289,9 @@ def sanitise(
 
     Returns for each row doc_id, n_email, n_ip, n_card, n_phone, base_sha256
     (of the pattern-found spans, kind:start:end, comma-joined) and spans (all
-    of them, with terms of kind "term"); with_text, also the other columns of
-    docs and sanitised, the text with spans replaced.
+    of them, with terms of kind "term"); with_text, also sanitised, the text
+    with spans replaced, and the other columns of docs, but for those named
+    like one of the result.
 
     Positions are code points, ends exclusive. Null and empty texts have no
     spans (a null text stays null). Null ids and repeated rows stay as they
@@ -297,12 +302,11 @@ def sanitise(
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    if not with_text:
-        docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *(c for c in docs.columns if with_text and c not in _OWN))
     flagged = materialize(disclosures(docs, window, support, threshold, broadcast_rows), "pii-flagged")
     schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string"])
     if with_text:
-        schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc_id", "text")) + ", sanitised string"
+        schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _OWN) + ", sanitised string"
     if flagged.limit(broadcast_rows + 1).count() <= broadcast_rows:
         known = spark.sparkContext.broadcast(Disclosed(flagged.toArrow()))
         return docs.mapInArrow(partial(_apply, flagged=known, with_text=with_text), schema)
