@@ -32,6 +32,8 @@ NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
 CUT = 0.7
 BLOCK = 64
+#: Blocks that are looked into before the first test of bounds; each further step takes four times as many.
+FIRST_BLOCKS = 8
 #: Bytes of a word's beginnings that are terms.
 STEMS = (3, 4, 5, 6, 7, 8)
 
@@ -87,20 +89,37 @@ class BlockMaxIndex:
         """Places and cosines of the k nearest examples with a positive cosine; ties to the first place."""
         bound = weights @ self.most[columns]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        order = order[: int(np.count_nonzero(bound > 0))]
         place, cosine = np.empty(0, np.int64), np.empty(0)
-        for lo in range(0, len(order), 4):
-            group = order[lo : lo + 4]
-            if len(place) >= k and bound[group[0]] + 1e-9 < cosine[k - 1]:
-                break
-            at = (columns[:, None] * self.blocks + group[None, :]).ravel()
+        lo, step = 0, FIRST_BLOCKS
+        while lo < len(order):
+            hi = min(lo + step, len(order))
+            if len(place) >= k:
+                # Blocks come by descending bound: those from `hi` on can't reach the k-th best.
+                hi = min(hi, lo + int(np.searchsorted(-bound[order[lo:hi]], 1e-9 - cosine[k - 1], "right")))
+                if hi == lo:
+                    break
+            group = order[lo:hi]
+            at = (columns[:, None] * self.blocks + group).ravel()
             count = self.begin[at + 1] - self.begin[at]
             posting = tc.ragged(self.begin[at], count)
-            found, back = np.unique(self.doc[posting], return_inverse=True)
-            value = np.bincount(back, self.weight[posting] * np.repeat(np.repeat(weights, len(group)), count), len(found))
-            place, cosine = np.concatenate([place, found]), np.concatenate([cosine, value])
-            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
-            place, cosine = place[best], cosine[best]
+            # A row of sums for each block of the group.
+            slot = np.empty(self.blocks, np.int64)
+            slot[group] = np.arange(len(group))
+            doc = self.doc[posting]
+            value = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.weight[posting] * np.repeat(np.repeat(weights, len(group)), count), len(group) * BLOCK)
+            found = np.flatnonzero(value > 0)
+            place = np.concatenate([place, group[found // BLOCK] * BLOCK + found % BLOCK])
+            cosine = np.concatenate([cosine, value[found]])
+            if len(place) > k:
+                rounded = np.round(cosine, 12)
+                least = np.partition(rounded, len(rounded) - k)[len(rounded) - k]
+                top = np.flatnonzero(rounded >= least)
+                top = top[np.lexsort((place[top], -rounded[top]))[:k]]
+            else:
+                top = np.lexsort((place, -np.round(cosine, 12)))
+            place, cosine = place[top], cosine[top]
+            lo, step = hi, 4 * step
         return place, cosine
 
 
