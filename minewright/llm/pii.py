@@ -6,8 +6,11 @@ stands, and from the term's frequency in all documents, the pointwise mutual
 information of term and entity is estimated. A term discloses an entity where
 that reaches `threshold` of the entity's own information content; in documents
 that hold the entity it is removed if it gives away nearly all, and generalised
-otherwise. A context counts once, however often it is copied, and a pair needs
-`support` different contexts, so that chance neighbours don't count.
+otherwise. A context counts once, however often it is copied. Every pair is
+scored, those seen once too: the share of a term's occurrences that stand beside
+the entity is drawn towards the entity's own share of all documents by `prior`
+occurrences, so that few occurrences weigh less and frequent words next to an
+entity by chance don't count.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from minewright.runtime import materialize, ship_package
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 WINDOW = 6
-SUPPORT = 4
+PRIOR = 0.5
 THRESHOLD = 0.8
 REMOVE = 0.95
 #: (entity, term) pairs, or terms, up to which a set is broadcast (24 bytes each).
@@ -159,16 +162,16 @@ def _frequency(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> I
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count.astype(np.int64))], ["term", "df"])
 
 
-def disclosures(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def disclosures(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, and how much of its information."""
     spark = docs.sparkSession
     seen = docs.select("text").mapInArrow(partial(_contexts, window=window), "entity long, term long, context long")
-    pairs = materialize(seen.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {support}"), "pii-pairs")
+    pairs = materialize(seen.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "pii-pairs")
     entities = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
     both = materialize(pairs.where("term <> 0").join(entities, "entity"), "pii-both")
     terms = both.select("term").distinct()
     wanted = None
-    if both.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
         got = terms.toArrow().column("term").combine_chunks()
         keys = np.sort(np.ascontiguousarray(got.to_numpy()).view(np.uint64))
         if not len(keys):
@@ -180,7 +183,8 @@ def disclosures(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, t
     df = counts.groupBy("term").agg(F.sum("df").alias("df"))
     n = max(1, docs.count())
     information = F.log(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log(F.col("n") / F.col("n_entity") * n / F.greatest("df", "n"))
+    base = F.col("n_entity") / float(n)
+    pmi = F.log((F.col("n") + prior * base) / (F.greatest("df", "n") + prior) / base)
     scored = both.join(df, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
     return scored.where(f"share >= {threshold}").select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
 
@@ -280,7 +284,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(
     docs: DataFrame,
     window: int = WINDOW,
-    support: int = SUPPORT,
+    prior: float = PRIOR,
     threshold: float = THRESHOLD,
     with_text: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -303,7 +307,7 @@ def sanitise(
     ship_package(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", "text", *(c for c in docs.columns if with_text and c not in _OWN))
-    flagged = materialize(disclosures(docs, window, support, threshold, broadcast_rows), "pii-flagged")
+    flagged = materialize(disclosures(docs, window, prior, threshold, broadcast_rows), "pii-flagged")
     schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string"])
     if with_text:
         schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _OWN) + ", sanitised string"

@@ -237,6 +237,14 @@ def test_disclosing_terms_are_found_either_way(spark):
     assert a == b and all("term:" in a[i] for i in range(8)) and all(a[i] == "" for i in range(8, 208))
 
 
+def test_terms_beside_an_entity_named_once_are_found(spark):
+    texts = ["the owner Zebulon has zeb@corp.example here"] + [f"the owner has plain words here {i % 50}" for i in range(199)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (500_000, 0):
+        got = {r.doc_id: r.sanitised for r in pii.sanitise(given, with_text=True, broadcast_rows=rows).collect()}
+        assert got == dict(enumerate(["the owner [Name] has [EMAIL] here", *texts[1:]]))
+
+
 # classifiers
 
 @pytest.mark.parametrize(("score", "label"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
