@@ -6,7 +6,8 @@ stands, and from the term's frequency in all documents, the pointwise mutual
 information of term and entity is estimated. A term discloses an entity where
 that reaches `threshold` of the entity's own information content; in documents
 that hold the entity it is removed if it gives away nearly all, and generalised
-otherwise. A context counts once, however often it is copied. Every pair is
+otherwise. Entities, terms and pairs are all counted in documents, copies
+included, so that copying a document changes no ratio of them. Every pair is
 scored, those seen once too: the share of a term's occurrences that stand beside
 the entity is drawn towards the entity's own share of all documents by `prior`
 occurrences, so that few occurrences weigh less and frequent words next to an
@@ -120,28 +121,23 @@ def _around(text: str, spans: list[tuple[int, int, int]], window: int) -> list[s
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context) for each different term in the context of each span."""
+    """(entity, term, n): number of documents with each entity, and with each term in a context of it, by batches."""
     for batch in tc.chunks(batches):
-        entities, around = [], []
-        for text in _texts(batch):
+        entities, owners, around = [], [], []
+        for d, text in enumerate(_texts(batch)):
             spans = find(text)
             entities += [entity(text, s) for s in spans]
+            owners += [d] * len(spans)
             around += _around(text, spans, window)
         if not entities:
             continue
         w = tc.words(pa.array(around, pa.string()), tc.ALNUM, lower=True)
-        context = w.spans(w.docs[:-1], w.docs[1:])
-        pairs = np.unique(np.stack([w.doc_of.astype(np.int64), w.hashes.view(np.int64)], 1), axis=0) if len(w.starts) else np.empty((0, 2), np.int64)
-        key = np.array(entities, np.int64)
-        # A row with term 0 stands for the context itself.
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([key, key[pairs[:, 0]]])),
-                pa.array(np.concatenate([np.zeros(len(key), np.int64), pairs[:, 1]])),
-                pa.array(np.concatenate([context, context[pairs[:, 0]]]).view(np.int64)),
-            ],
-            ["entity", "term", "context"],
-        )
+        # A row with term 0 stands for the entity itself.
+        at = np.concatenate([np.arange(len(entities)), w.doc_of])
+        term = np.concatenate([np.zeros(len(entities), np.int64), w.hashes.view(np.int64)])
+        seen = np.unique(np.stack([np.array(entities, np.int64)[at], term, np.array(owners, np.int64)[at]], 1), axis=0)
+        pairs, n = np.unique(seen[:, :2], axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["entity", "term", "n"])
 
 
 def _frequency(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> Iterator[pa.RecordBatch]:
@@ -165,8 +161,8 @@ def _frequency(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> I
 def disclosures(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, and how much of its information."""
     spark = docs.sparkSession
-    seen = docs.select("text").mapInArrow(partial(_contexts, window=window), "entity long, term long, context long")
-    pairs = materialize(seen.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "pii-pairs")
+    seen = docs.select("text").mapInArrow(partial(_contexts, window=window), "entity long, term long, n long")
+    pairs = materialize(seen.groupBy("entity", "term").agg(F.sum("n").alias("n")), "pii-pairs")
     entities = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
     both = materialize(pairs.where("term <> 0").join(entities, "entity"), "pii-both")
     terms = both.select("term").distinct()
@@ -299,7 +295,7 @@ def sanitise(
 
     Positions are code points, ends exclusive. Null and empty texts have no
     spans (a null text stays null). Null ids and repeated rows stay as they
-    are; repeated contexts count once. An empty table gives no rows. Three
+    are, and each row counts as a document. An empty table gives no rows. Three
     passes over the texts and no shuffle of them; disclosing pairs are
     broadcast up to broadcast_rows, and joined to the documents beyond that.
     """

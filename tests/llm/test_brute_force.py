@@ -1,6 +1,7 @@
 """Whole queries against brute-force versions that share no code with the operators."""
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -245,6 +246,24 @@ def test_terms_beside_an_entity_named_once_are_found(spark):
         assert got == dict(enumerate(["the owner [Name] has [EMAIL] here", *texts[1:]]))
 
 
+def test_copies_keep_disclosing_terms(spark):
+    texts = [f"Zebulon note{i} zeb@corp.example" for i in range(4)] * 100 + ["one Quimby has quim@corp.example"] * 300 + [f"plain words here {i}" for i in range(9300)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (500_000, 0):
+        got = {r.doc_id: r.spans for r in pii.sanitise(given, broadcast_rows=rows).collect()}
+        assert all("term:0:7" in got[d] for d in range(400)) and all("term:4:10" in got[d] for d in range(400, 700))
+        assert not any(got[d] for d in range(700, 10000))
+
+
+def test_pairs_and_terms_are_counted_in_documents(spark):
+    # zeb in 3 documents (one names it twice, one is a copy), "alpha" beside it in 2 and in 5 of all 40, "gone" in 1 of 1.
+    texts = ["alpha zeb@c.example alpha zeb@c.example"] * 2 + ["zeb@c.example gone"] + ["alpha"] * 3 + ["x"] * 34
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.share for r in pii.disclosures(given, threshold=-9.0).collect())
+    share = lambda n, df: math.log((n + 0.5 * 3 / 40) / (df + 0.5) * 40 / 3) / math.log(40 / 3)
+    assert got == pytest.approx(sorted([share(2, 5), share(1, 1)]))
+
+
 # classifiers
 
 @pytest.mark.parametrize(("score", "label"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
