@@ -47,7 +47,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]+")
-_CONTEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def luhn(digits: str) -> bool:
@@ -97,45 +96,41 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if t is None else t for t in batch.column("text").to_pylist()]
 
 
-def _around(text: str, spans: list[tuple[int, int, int]], window: int) -> list[str]:
-    """For each span the `window` words before and behind it, without other spans, joined by blanks."""
-    if not spans:
-        return []
-    blank, upto = [], 0
+def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with blanks in place of the spans."""
+    out, upto = [], 0
     for s, _, e in spans:
         if e > upto:
-            blank += [text[upto : max(s, upto)], " " * (e - max(s, upto))]
+            out += [text[upto : max(s, upto)], " " * (e - max(s, upto))]
             upto = e
-    masked = "".join(blank) + text[upto:]
-    reach, out = 32 * window, []
-    for s, _, e in spans:
-        left = masked[max(0, s - reach) : s]
-        before = _CONTEXT.findall(left)
-        if s > reach and before:  # the first may be cut
-            before = before[1:]
-        behind = _CONTEXT.findall(masked[e : e + reach])
-        if e + reach < len(masked) and behind:
-            behind = behind[:-1]
-        out.append(" ".join(before[-window:] + behind[:window]))
-    return out
+    return "".join(out) + text[upto:]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(entity, term, n): number of documents with each entity, and with each term in a context of it, by batches."""
+    """(entity, term, n): number of documents with each entity, and with each term in a context of it, by batches.
+
+    A context is the `window` words before and behind a span, however far off;
+    other spans hold no words.
+    """
     for batch in tc.chunks(batches):
-        entities, owners, around = [], [], []
-        for d, text in enumerate(_texts(batch)):
-            spans = find(text)
-            entities += [entity(text, s) for s in spans]
-            owners += [d] * len(spans)
-            around += _around(text, spans, window)
-        if not entities:
+        entities, owners, begins, masked = [], [], [], []
+        for text in _texts(batch):
+            if spans := find(text):
+                entities += [entity(text, s) for s in spans]
+                owners += [len(masked)] * len(spans)
+                begins += [s for s, _, _ in spans]
+                masked.append(_masked(text, spans))
+        if not masked:
             continue
-        w = tc.words(pa.array(around, pa.string()), tc.ALNUM, lower=True)
+        w = tc.words(pa.array(masked, pa.string()), tc.ALNUM, lower=True)
+        point = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        key, owner = np.array(entities, np.int64), np.array(owners, np.int64)
+        behind = np.searchsorted(point[w.starts], point[w.bounds[owner]] + np.array(begins, np.int64))
+        lo, hi = np.maximum(behind - window, w.docs[owner]), np.minimum(behind + window, w.docs[owner + 1])
         # A row with term 0 stands for the entity itself.
-        at = np.concatenate([np.arange(len(entities)), w.doc_of])
-        term = np.concatenate([np.zeros(len(entities), np.int64), w.hashes.view(np.int64)])
-        seen = np.unique(np.stack([np.array(entities, np.int64)[at], term, np.array(owners, np.int64)[at]], 1), axis=0)
+        at = np.concatenate([np.arange(len(key)), np.repeat(np.arange(len(key)), hi - lo)])
+        term = np.concatenate([np.zeros(len(key), np.int64), w.hashes[tc.ragged(lo, hi - lo)].view(np.int64)])
+        seen = np.unique(np.stack([key[at], term, owner[at]], 1), axis=0)
         pairs, n = np.unique(seen[:, :2], axis=0, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["entity", "term", "n"])
 

@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from minewright.llm import decontaminate, embedding_dedup, pii, quality, queries, token_counts, toxicity
+from minewright.llm import textcodes as tc
 from minewright.llm.queries import vocabulary
 
 SF = os.environ.get("BRUTE_SF_DIR", "/root/testdata/sf0.001")
@@ -264,6 +266,24 @@ def test_pairs_and_terms_are_counted_in_documents(spark):
     assert got == pytest.approx(sorted([share(2, 5), share(1, 1)]))
 
 
+def test_contexts_have_six_words_however_far_off():
+    word = lambda i: f"w{i}" + "長" * 150
+    list_of = " , ".join(f"p{i}@c.example" for i in range(40))
+    texts = [" ".join([*map(word, range(8)), "a@c.example", *map(word, range(8, 16))]), f"left one {list_of} right two", "x" + " " * 900 + "1.2.3.4" + "\n" * 900 + "y", "b@c.example", "", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = {}
+    for b in pii._contexts(iter([batch]), 6):
+        for e, t, n in zip(*(b.column(c).to_pylist() for c in ("entity", "term", "n")), strict=True):
+            assert n == 1
+            if t:
+                got.setdefault(e, set()).add(t)
+    hashed = lambda words: set(tc.words(pa.array([" ".join(words)]), tc.ALNUM, lower=True).hashes.view(np.int64).tolist())
+    key = lambda said, kind: pii.entity(said, (0, kind, len(said)))
+    want = {key("a@c.example", 0): hashed(map(word, range(2, 14))), key("1.2.3.4", 1): hashed("xy")}
+    want |= {key(f"p{i}@c.example", 0): hashed(["left", "one", "right", "two"]) for i in range(40)}
+    assert got == want
+
+
 # classifiers
 
 @pytest.mark.parametrize(("score", "label"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
