@@ -136,21 +136,28 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 def _frequency(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """Number of documents with each (wanted) term, by batches."""
+    """Number of documents with each term, by batches; of wanted terms (few enough for a table), by tasks."""
+    keys = None if wanted is None else wanted.value
+    total = None if keys is None else np.zeros(len(keys), np.int64)
     for batch in tc.chunks(batches):
         w = tc.words(batch.column("text"), tc.ALNUM, lower=True)
         term, doc = w.hashes, w.doc_of
-        if wanted is not None:
-            keys = wanted.value
+        if keys is not None:
             at = np.minimum(np.searchsorted(keys, term), len(keys) - 1)
             own = keys[at] == term
-            term, doc = term[own], doc[own]
+            term, doc = at[own], doc[own]
         order = np.lexsort((doc, term))
         term, doc = term[order], doc[order]
         fresh = np.ones(len(term), bool)
         fresh[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
         terms, count = np.unique(term[fresh], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count.astype(np.int64))], ["term", "df"])
+        if total is not None:
+            total[terms] += count
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count.astype(np.int64))], ["term", "df"])
+    if total is not None:
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(total[found])], ["term", "df"])
 
 
 def disclosures(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

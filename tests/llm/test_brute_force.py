@@ -284,6 +284,15 @@ def test_contexts_have_six_words_however_far_off():
     assert got == want
 
 
+def test_frequencies_are_summed_within_a_task():
+    texts = ["a b a", "b", None, "", "c a"]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})] * 3
+    hashed = tc.words(pa.array(["a b c"]), tc.ALNUM, lower=True).hashes
+    wanted = type("Wanted", (), {"value": np.sort(hashed[:2])})
+    rows = [r for b in pii._frequency(iter(batches), wanted) for r in zip(b.column("term").to_pylist(), b.column("df").to_pylist(), strict=True)]
+    assert sorted(rows) == sorted(zip(hashed[:2].view(np.int64).tolist(), (6, 6), strict=True))
+
+
 # classifiers
 
 @pytest.mark.parametrize(("score", "label"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
