@@ -39,12 +39,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, useful_only: bool = False) -> DataFrame:
-    """The bipartite graph (src user, dst item) of five-star reviews."""
-    best = reviews(spark, sf_dir).where("stars = 5")
+def edges(spark: SparkSession, sf_dir: str, stars: int | None = None, useful_only: bool = False) -> DataFrame:
+    """The bipartite graph (src user, dst item) of all reviews, or of those with so many stars and useful ones alone."""
+    picked = reviews(spark, sf_dir)
+    if stars is not None:
+        picked = picked.where(F.col("stars") == stars)
     if useful_only:
-        best = best.where("useful")
-    return best.select(
+        picked = picked.where("useful")
+    return picked.select(
         F.concat(F.lit("U_"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("P_"), F.col("item_id").cast("string")).alias("dst")
     ).distinct()
 
@@ -63,4 +65,5 @@ ITEMS_SQL = """items AS (
   FROM part)"""
 EDGES_SQL = REVIEWS_SQL + """, edges AS (
   SELECT DISTINCT 'U_' || user_id AS src, 'P_' || item_id AS dst FROM reviews WHERE stars = 5)"""
+ALL_EDGES_SQL = EDGES_SQL.replace(" WHERE stars = 5", "")
 USEFUL_EDGES_SQL = EDGES_SQL.replace("stars = 5", "stars = 5 AND useful")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from minewright.operators import clustering, eda, graph, recommend
 from minewright.operators.components import connected_components
 from minewright.operators.decomposition import Svd
+from minewright.plans import registry
 from minewright.sources import jsonl
 from minewright.streaming import sketches, windows
 
@@ -161,3 +162,51 @@ def test_stream_windows_match_batch(spark, tmp_path):
     # Sums of a stream are taken in another order.
     rows = lambda df: sorted((*r[:4], round(r.std, 9), *r[5:]) for r in df.collect())
     assert rows(spark.table("stats")) == rows(windows.window_statistics(df, "1 hour", fill=False))
+
+
+@pytest.fixture(scope="module")
+def review_graph(spark, tmp_path_factory):
+    """(folder, pairs): 30 reviews of 8 users, of every number of stars and both flags, and the distinct pairs."""
+    home, rng = str(tmp_path_factory.mktemp("reviews")), random.Random(3)
+    rows = [(i, 1, f"U_{i % 8}", 1 + (i % 8 + i // 8) % 6 if i < 16 else rng.randint(1, 6), float(1 + i % 50), "RNA"[i % 3]) for i in range(30)]
+    lines = [(o, n, int(item), quantity, flag) for o, n, _, item, quantity, flag in rows]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string").withColumn("l_shipdate", F.lit("1995-01-01").cast("date")).write.parquet(f"{home}/lineitem.parquet")
+    spark.createDataFrame([(r[0], int(r[2][2:])) for r in rows], "o_orderkey long, o_custkey long").write.parquet(f"{home}/orders.parquet")
+    return home, {(r[2], f"P_{r[3]}") for r in rows}
+
+
+def adjacency(pairs):
+    names = sorted({x for p in pairs for x in p})
+    a = np.zeros((len(names), len(names)))
+    for s, d in pairs:
+        a[names.index(s), names.index(d)] = 1
+    return names, a
+
+
+def test_graph_queries_read_all_reviews(spark, review_graph):
+    home, pairs = review_graph
+    run = lambda name: registry.QUERIES[f"{name}_all_reviews"](spark, home).collect()
+    assert {(r.src, r.dst) for r in run("gra2_bipartite_edges")} == pairs
+    assert run("gra3_graph_metrics")[0].edges == len(pairs)
+    assert {r.node for r in run("gra6_components")} == {r.node for r in registry.QUERIES["gra13_louvain"](spark, home).collect()} == {x for p in pairs for x in p}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_pagerank_of_all_reviews_converges(spark, review_graph, directed):
+    home, pairs = review_graph
+    names, a = adjacency(pairs)
+    a = a if directed else a + a.T
+    n, out = len(names), a.sum(1)
+    step = np.where(out[:, None] > 0, a / np.maximum(out, 1)[:, None], 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * step.T, np.full(n, 0.15 / n))
+    got = {r.node: r.score for r in registry.QUERIES["gra11_pagerank_directed_all_reviews" if directed else "gra10_pagerank_undirected_all_reviews"](spark, home).collect()}
+    assert [got[x] for x in names] == pytest.approx(want, abs=1e-5)
+
+
+def test_hits_of_all_reviews_converges(spark, review_graph):
+    home, pairs = review_graph
+    names, a = adjacency(pairs)
+    u, _, v = np.linalg.svd(a)
+    got = {r.node: r for r in registry.QUERIES["gra12_hits_all_reviews"](spark, home).collect()}
+    assert [got[x].hub for x in names] == pytest.approx(np.abs(u[:, 0]), abs=1e-4)
+    assert [got[x].authority for x in names] == pytest.approx(np.abs(v[0]), abs=1e-4)
