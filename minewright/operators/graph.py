@@ -198,8 +198,9 @@ def louvain(edges: DataFrame, max_levels: int = 10, tol: float = 1e-6, rounds: i
 
     All nodes choose their best community from the same state; a round admits
     only moves to lower (even rounds) or higher (odd rounds) community names,
-    so that two nodes can't swap. A round that lowers modularity is undone. The
-    result is seeded by nothing but the node names.
+    so that two nodes can't swap. A round that lowers modularity is undone, and
+    later ones admit half as many of the moves, drawn by node; a level ends when
+    no move gains anything, or after `rounds`. The result is seeded by nothing but the node names.
     """
     weights = materialize(both_ways(edges).select("src", "dst", F.lit(1.0).alias("w")), "lv")
     m2 = weights.agg(F.sum("w")).first()[0] or 0.0
@@ -216,7 +217,7 @@ def louvain(edges: DataFrame, max_levels: int = 10, tol: float = 1e-6, rounds: i
     for _ in range(max_levels):
         part = materialize(weights.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "lv")
         strength = materialize(weights.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "lv")
-        q, still = quality(weights, part), 0
+        q, idle, share = quality(weights, part), 0, 1.0
         for i in range(rounds):
             tot = part.join(strength, "node").groupBy("community").agg(F.sum("k").alias("tot"))
             to = weights.where("src <> dst").join(part.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("kin"))
@@ -227,14 +228,20 @@ def louvain(edges: DataFrame, max_levels: int = 10, tol: float = 1e-6, rounds: i
             side = F.col("community") < F.col("old") if i % 2 == 0 else F.col("community") > F.col("old")
             moves = own.join(to, "node").join(tot, "community").where(side).select("node", "community", F.round(gain, 12).alias("gain")).where(F.col("gain") > tol)
             moves = moves.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community")).alias("m")).select("node", F.col("m.community").alias("next"))
-            then = materialize(part.join(moves, "node", "left").select("node", F.coalesce("next", "community").alias("community")), "lv")
-            after = quality(weights, then)
-            if after > q + tol:
-                part, q, still = then, after, 0
-            else:
-                still += 1
-                if still == 2:
+            moves = materialize(moves, "lv")
+            if not moves.limit(1).count():
+                idle += 1
+                if idle == 2:
                     break
+                continue
+            idle = 0
+            drawn = moves.where(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) < int(share * (1 << 20)))
+            then = materialize(part.join(drawn, "node", "left").select("node", F.coalesce("next", "community").alias("community")), "lv")
+            after = quality(weights, then)
+            if after > q:
+                part, q = then, after
+            elif drawn.limit(1).count():
+                share = max(share / 2, 1 / 1024)
         if q <= best + tol:
             break
         best = q

@@ -92,7 +92,7 @@ def k_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("clu1_kmeans")
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return clu.kmeans(points(spark, sf), 10, max_iter=10)[1]
+    return clu.kmeans(points(spark, sf), 10, n_init=10)[1]
 
 
 @query("clu4_cure")

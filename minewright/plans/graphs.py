@@ -148,7 +148,7 @@ def modularity(spark: SparkSession, sf: str, view: View = five_star) -> DataFram
 
 @query("gra13_louvain")
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.louvain(edges(spark, sf), max_levels=3, rounds=6)[0]
+    return graph.louvain(edges(spark, sf), rounds=1000)[0]
 
 
 WHOLE = {

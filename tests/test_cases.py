@@ -210,3 +210,20 @@ def test_hits_of_all_reviews_converges(spark, review_graph):
     got = {r.node: r for r in registry.QUERIES["gra12_hits_all_reviews"](spark, home).collect()}
     assert [got[x].hub for x in names] == pytest.approx(np.abs(u[:, 0]), abs=1e-4)
     assert [got[x].authority for x in names] == pytest.approx(np.abs(v[0]), abs=1e-4)
+
+
+def test_louvain_goes_on_until_nothing_moves(spark):
+    rng = random.Random(5)
+    g = edges(spark, *[(f"U_{rng.randrange(16)}", f"P_{rng.randrange(16)}") for _ in range(160)])
+    _, q = graph.louvain(g, rounds=1000)
+    assert q > 0.19
+
+
+def test_registered_settings_are_the_whole_ones(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(clustering, "kmeans", lambda rows, k, **given: seen.update(kmeans=given) or (None, rows, 0.0))
+    monkeypatch.setattr(graph, "louvain", lambda links, **given: seen.update(louvain=given) or (links, 0.0))
+    registry.QUERIES["clu1_kmeans"](spark, "/root/testdata/sf0.001")
+    registry.QUERIES["gra13_louvain"](spark, "/root/testdata/sf0.001")
+    assert seen["kmeans"].get("n_init", 1) >= 10 and seen["kmeans"].get("max_iter", 100) >= 100
+    assert seen["louvain"].get("max_levels", 10) >= 10 and seen["louvain"].get("rounds", 20) >= 100
