@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minewright.operators import recommend as rec
 from minewright.plans.exploration import rounded
-from minewright.plans.registry import query
+from minewright.plans.registry import ORACLE_SQL, query
 from minewright.sources.datasets import ITEMS_SQL, RATINGS_SQL, items, ratings
 
 
@@ -103,25 +105,25 @@ CONTENT = """content AS MATERIALIZED (SELECT user_id, item_id, dot / norm AS sco
 JOIN (SELECT user_id, sqrt(sum(weight * weight)) AS norm FROM profile GROUP BY 1) USING (user_id))"""
 
 
-def target_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(ratings, item vectors, the evaluated users, their content scores)."""
+def target_scores(spark: SparkSession, sf: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ratings, item vectors, the evaluated users or every one, their content scores)."""
     rows, vectors = ratings(spark, sf), rec.tfidf(items(spark, sf))
-    users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy("user_id").limit(100).select("user_id")
+    users = rows.select("user_id").distinct() if every else rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy("user_id").limit(100).select("user_id")
     own = rec.user_profile(rows, vectors).join(F.broadcast(users), "user_id", "left_semi")
     return rows, vectors, users, rec.content_scores(own, vectors)
 
 
 @query("rec13_content_topk", f"WITH {RATINGS_SQL}, {HOLDOUT}, {TFIDF}, {PROFILE}, {CONTENT} SELECT user_id, item_id, round(score, 8) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 8) DESC, item_id) AS INTEGER) AS rank FROM content QUALIFY rank <= 5")
-def content(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.ranked(target_scores(spark, sf)[3], "user_id", "score", "item_id", 5)
+def content(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return rec.ranked(target_scores(spark, sf, every)[3], "user_id", "score", "item_id", 5)
 
 
 @query("rec15_hybrid_topk", f"""WITH {RATINGS_SQL}, {HOLDOUT}, {USER_SCORES}, {TFIDF}, {PROFILE}, {CONTENT},
 cf AS (SELECT user_id, item_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) AS c FROM scores WHERE score > 0 WINDOW w AS (PARTITION BY user_id)),
 h AS (SELECT user_id, item_id, round(0.85 * coalesce(c, 0) + 0.15 * (coalesce(score, 0) + 1) / 2, 8) AS score FROM (SELECT user_id, item_id FROM active CROSS JOIN items) LEFT JOIN cf USING (user_id, item_id) LEFT JOIN content USING (user_id, item_id) ANTI JOIN ratings USING (user_id, item_id))
 SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 5""")
-def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _, users, text = target_scores(spark, sf)
+def hybrid(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    rows, _, users, text = target_scores(spark, sf, every)
     return rec.unseen_topk(rec.hybrid_scores(rec.user_scores(rows), text, users, items(spark, sf), 0.85, 0.15), rows)
 
 
@@ -178,7 +180,14 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rec1_random_topk", f"""WITH {RATINGS_SQL}, {HOLDOUT} SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY md5('42_' || user_id || '_' || item_id), item_id) AS INTEGER) AS rank
 FROM (SELECT user_id, item_id FROM active CROSS JOIN (SELECT DISTINCT item_id FROM ratings)) ANTI JOIN ratings USING (user_id, item_id) QUALIFY rank <= 5""")
-def random(spark: SparkSession, sf: str) -> DataFrame:
+def random(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     rows = ratings(spark, sf)
-    users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy("user_id").limit(100)
+    users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = users if every else users.where("n >= 4").orderBy("user_id").limit(100)
     return rec.random_topk(rows, users)
+
+
+#: The 100 users of the hold-out, and everyone in their place.
+ACTIVE = "active AS (SELECT user_id FROM ratings GROUP BY 1 HAVING count(*) >= 4 ORDER BY user_id LIMIT 100)"
+for _name, _plan in {"rec1_random_topk": random, "rec13_content_topk": content, "rec15_hybrid_topk": hybrid}.items():
+    query(f"{_name}_all_users", ORACLE_SQL[_name].replace(ACTIVE, "active AS (SELECT DISTINCT user_id FROM ratings)"))(partial(_plan, every=True))

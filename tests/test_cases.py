@@ -13,6 +13,7 @@ from minewright.operators.components import connected_components
 from minewright.operators.decomposition import Svd
 from minewright.plans import registry
 from minewright.sources import jsonl
+from minewright.sources.datasets import ratings
 from minewright.streaming import sketches, windows
 
 
@@ -227,3 +228,11 @@ def test_registered_settings_are_the_whole_ones(spark, monkeypatch):
     registry.QUERIES["gra13_louvain"](spark, "/root/testdata/sf0.001")
     assert seen["kmeans"].get("n_init", 1) >= 10 and seen["kmeans"].get("max_iter", 100) >= 100
     assert seen["louvain"].get("max_levels", 10) >= 10 and seen["louvain"].get("rounds", 20) >= 100
+
+
+@pytest.mark.parametrize("name", ["rec1_random_topk", "rec13_content_topk", "rec15_hybrid_topk"])
+def test_all_users_are_served(spark, name):
+    folder = "/root/testdata/sf0.001"
+    users = {r[0] for r in ratings(spark, folder).select("user_id").distinct().collect()}
+    rows = registry.QUERIES[f"{name}_all_users"](spark, folder).groupBy("user_id").count().collect()
+    assert {r.user_id for r in rows} == users and all(r["count"] == 5 for r in rows) and len(users) > 100
