@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ARROW_BYTES = "33554432"
+_ARROW_BYTES = "4194304"
 
 
 def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
