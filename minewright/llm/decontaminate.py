@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowed fingerprints.
 
-Both sides are fingerprinted by winnowing: of the hashes of k consecutive
-words, the least in every window of (span - k + 1) of them is kept. Two texts
-that share `span` words share the fingerprint of that window, so a document
-window can equal an item window only where its fingerprint is among the
-items'. Such hits are extended to the whole window and compared by two
-independent 64-bit hashes of all its words, so the guarantee is exact both ways.
-Items shorter than a window have no fingerprint; their whole word sequence is
-looked up by its length.
+Both sides are fingerprinted by winnowing: of the hashes of `gram` consecutive
+words, the least in every window is kept, and neighbouring windows with one
+fingerprint make one row. Two texts that share a window share its fingerprint,
+so a document's window can equal an item's only where its fingerprint is among
+the items': these are joined. Only hits are extended to whole windows, whose
+words are then compared by two 64-bit hashes from independent word hashes.
+
+Items shorter than a window are one window of their own length, winnowed alike.
 """
 
 from __future__ import annotations
@@ -32,85 +32,91 @@ BROADCAST_CHARS = 8 << 20
 _ITEMS = "item_id long, length int, fp long, h1 long, h2 long"
 
 
-def _windows(w: tc.Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, fingerprint and the two hashes of each window of span words."""
-    at = w.inside(span)
+def _least(w: tc.Words, length: int, gram: int) -> np.ndarray:
+    """At each position, the fingerprint of the window of `length` words that begins there."""
+    k = min(gram, length // 2 + 1)
+    return tc.sliding_min(w.grams(k), length - k + 1)
+
+
+def prints(w: tc.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number and fingerprint of each run of neighbouring windows that have one fingerprint."""
+    at = w.inside(length)
     if not len(at):
-        none = np.empty(0, np.uint64)
-        return at, none, none, none
-    least = tc.sliding_min(w.grams(gram), span - gram + 1)
-    return at, least[at], w.grams(span)[at], w.grams(span, tc.OTHER_BASE)[at]
+        return at, at, np.empty(0, np.uint64)
+    least = _least(w, length, gram)[at]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+    if length == 1:
+        fresh |= np.isin(at, w.docs)
+    first = np.flatnonzero(fresh)
+    return at[first], np.diff(np.append(first, len(at))), least[first]
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """One row for each window of each item; a short item has one, without fingerprint."""
+    """One row for each window of each item; a short item is one window."""
     for batch in tc.chunks(batches):
         w = tc.words(batch.column("text"), tc.ALNUM, lower=True)
         ids = np.asarray(batch.column("item_id").to_numpy(zero_copy_only=False), np.int64)
-        doc_of = w.doc_of
-        at, fp, h1, h2 = _windows(w, span, gram)
-        short = np.flatnonzero((w.counts > 0) & (w.counts < span))
-        begin, end = w.docs[:-1][short], w.docs[1:][short]
-        one = w.spans(begin, end, tc.WORD_BASE)
-        two = w.spans(begin, end, tc.OTHER_BASE)
-        item = np.concatenate([ids[doc_of[at]], ids[short]])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(item),
-                pa.array(np.concatenate([np.full(len(at), span), w.counts[short]]).astype(np.int32)),
-                pa.array(np.concatenate([fp, np.zeros(len(short), np.uint64)]).view(np.int64)),
-                pa.array(np.concatenate([h1, one]).view(np.int64)),
-                pa.array(np.concatenate([h2, two]).view(np.int64)),
-            ],
-            ["item_id", "length", "fp", "h1", "h2"],
-        )
+        own = np.minimum(w.counts, span)
+        for n in np.unique(own[own > 0]).tolist():
+            at = w.inside(n)
+            doc = w.doc_of[at]
+            at, doc = at[own[doc] == n], doc[own[doc] == n]
+            codes = (_least(w, n, gram)[at], w.runs(at, n, 0), w.runs(at, n, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[doc]), pa.array(np.full(len(at), n, np.int32)), *(pa.array(x.view(np.int64)) for x in codes)],
+                ["item_id", "length", "fp", "h1", "h2"],
+            )
 
 
 class Index:
-    """Windows of the items by length: sorted hashes, and the items of each."""
+    """Windows of the items by length: their fingerprints, hashes, and items."""
 
     def __init__(self, rows: pa.Table, span: int, gram: int):
-        self.span, self.gram = span, gram
+        self.gram, self.of_length = gram, {}
         item, length = (rows.column(c).to_numpy() for c in ("item_id", "length"))
         fp, h1, h2 = (np.ascontiguousarray(rows.column(c).to_numpy()).view(np.uint64) for c in ("fp", "h1", "h2"))
-        self.fingerprints = np.unique(fp[length == span])
-        self.of_length = {}
         for n in sorted(set(length.tolist())):
             own = np.flatnonzero(length == n)
-            own = own[np.lexsort((item[own], h1[own]))]
-            keys, begin = np.unique(h1[own], return_index=True)
-            self.of_length[n] = keys, h2[own][begin], np.append(begin, len(own)), item[own]
+            own = own[np.lexsort((item[own], h2[own], h1[own]))]
+            one, two = h1[own], h2[own]
+            begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            self.of_length[n] = np.unique(fp[own]), one[begin], two[begin], np.append(begin, len(own)), item[own]
 
     @staticmethod
-    def _among(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(keys, x)
         at[at == len(keys)] = 0
-        return keys[at] == x, at
+        return keys[at] == x
+
+    @staticmethod
+    def _windows(one: np.ndarray, two: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The place of each (h1, h2) among the sorted pairs (one, two), -1 if it is not there."""
+        out = np.full(len(h1), -1)
+        live, k = np.arange(len(h1)), np.searchsorted(one, h1)
+        while len(live):
+            near = k < len(one)
+            near[near] = one[k[near]] == h1[live[near]]
+            live, k = live[near], k[near]
+            same = two[k] == h2[live]
+            out[live[same]] = k[same]
+            live, k = live[~same], k[~same] + 1
+        return out
 
     def hits(self, w: tc.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each hit window, and (position, item) of each occurring item."""
         starts, lengths, where, items = [], [], [], []
-
-        def add(at: np.ndarray, h1: np.ndarray, h2: np.ndarray, n: int) -> None:
-            keys, second, begin, item = self.of_length[n]
-            there, k = self._among(h1, keys)
-            there &= second[k] == h2
-            at, k = at[there], k[there]
-            if len(at):
-                count = begin[k + 1] - begin[k]
-                starts.append(at)
-                lengths.append(np.full(len(at), n))
-                where.append(np.repeat(at, count))
-                items.append(item[tc.ragged(begin[k], count)])
-
-        for n in self.of_length:
-            if n == self.span:
-                at, fp, h1, h2 = _windows(w, n, self.gram)
-                if len(at):
-                    seed = self._among(fp, self.fingerprints)[0]
-                    add(at[seed], h1[seed], h2[seed], n)
-            elif len(at := w.inside(n)):
-                add(at, w.spans(at, at + n, tc.WORD_BASE), w.spans(at, at + n, tc.OTHER_BASE), n)
+        for n, (fps, one, two, begin, item) in self.of_length.items():
+            first, many, fp = prints(w, n, self.gram)
+            seed = self._among(fp, fps)
+            at = tc.ragged(first[seed], many[seed])
+            k = self._windows(one, two, w.runs(at, n, 0), w.runs(at, n, 1))
+            at, k = at[k >= 0], k[k >= 0]
+            count = begin[k + 1] - begin[k]
+            starts.append(at)
+            lengths.append(np.full(len(at), n))
+            where.append(np.repeat(at, count))
+            items.append(item[tc.ragged(begin[k], count)])
         empty = np.empty(0, np.int64)
         return tuple(np.concatenate(x) if x else empty for x in (starts, lengths, where, items))
 
@@ -154,27 +160,36 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Broadcast) -> Iterator[pa.Re
         )
 
 
-def _doc_windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """For an index too large to broadcast: every window of every document as a row."""
-    for batch in tc.chunks(batches, limit=tc.CHUNK_BYTES // 4):
+def _doc_prints(batches: Iterator[pa.RecordBatch], gram: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """For an index too large to broadcast: the fingerprints of every document."""
+    for batch in tc.chunks(batches):
         w = tc.words(batch.column("text"), tc.ALNUM, lower=True)
-        doc_of, key = w.doc_of, batch.column("row").to_numpy()
+        key = batch.column("row").to_numpy()
         for n in lengths:
-            if n == span:
-                at, fp, h1, h2 = _windows(w, span, gram)
-            else:
-                at = w.inside(n)
-                h1, h2 = (w.spans(at, at + n, b) for b in (tc.WORD_BASE, tc.OTHER_BASE))
-                fp = np.zeros(len(at), np.uint64)
-            d = doc_of[at]
+            at, many, fp = prints(w, n, gram)
+            d = np.searchsorted(w.docs, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key[d]),
-                    pa.array((at - w.docs[d]).astype(np.int32)),
-                    pa.array(np.full(len(at), n, np.int32)),
-                    *(pa.array(x.view(np.int64)) for x in (fp, h1, h2)),
-                ],
-                ["row", "start", "length", "fp", "h1", "h2"],
+                [pa.array(np.full(len(at), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(key[d]), pa.array((at - w.docs[d]).astype(np.int32)), pa.array(many.astype(np.int32))],
+                ["length", "fp", "row", "start", "n"],
+            )
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of all windows of the runs that are listed with a document."""
+    for batch in tc.chunks(batches):
+        w = tc.words(batch.column("text"), tc.ALNUM, lower=True)
+        parts, key = batch.column("parts"), batch.column("row").to_numpy()
+        flat = parts.flatten()
+        length, start, many = (flat.field(c).to_numpy().astype(np.int64) for c in ("length", "start", "n"))
+        doc = np.repeat(np.repeat(np.arange(batch.num_rows), parts.value_lengths().to_numpy()), many)
+        length, start = np.repeat(length, many), tc.ragged(start, many)
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            at = w.docs[doc[own]] + start[own]
+            codes = (w.runs(at, n, 0), w.runs(at, n, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[doc[own]]), pa.array(start[own].astype(np.int32)), pa.array(np.full(len(own), n, np.int32)), *(pa.array(x.view(np.int64)) for x in codes)],
+                ["row", "start", "length", "h1", "h2"],
             )
 
 
@@ -184,17 +199,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(w.counts.astype(np.int64))], ["row", "doc_id", "n_words"])
 
 
-def _by_join(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFrame:
-    """The same rows as _scan by shuffles alone, whatever the size of the benchmark."""
-    numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+def _by_join(numbered: DataFrame, index: DataFrame, span: int, gram: int) -> DataFrame:
+    """The same columns as of _scan for each row of numbered (row, doc_id, text), by shuffles alone, whatever the size of the benchmark.
+
+    Only fingerprints are shuffled, and texts that share one with an item.
+    """
+    # At most `span` different lengths.
     lengths = tuple(r["length"] for r in index.select("length").distinct().collect())
-    windows = numbered.select("row", "text").mapInArrow(
-        partial(_doc_windows, span=span, gram=gram, lengths=lengths),
-        "row long, start int, length int, fp long, h1 long, h2 long",
-    )
-    prints = index.select("length", "fp").distinct()
-    seeds = windows.join(prints, ["length", "fp"], "left_semi")
-    found = materialize(seeds.join(index.select("length", "h1", "h2").distinct(), ["length", "h1", "h2"], "left_semi"), "decon-hits")
+    rows = numbered.select("row", "text").mapInArrow(partial(_doc_prints, gram=gram, lengths=lengths), "length int, fp long, row long, start int, n int")
+    seeds = rows.join(index.select("length", "fp").distinct(), ["length", "fp"], "left_semi")
+    parts = seeds.groupBy("row").agg(F.collect_list(F.struct("length", "start", "n")).alias("parts"))
+    windows = numbered.select("row", "text").join(parts, "row").mapInArrow(_extended, "row long, start int, length int, h1 long, h2 long")
+    found = materialize(windows.join(index.select("length", "h1", "h2").distinct(), ["length", "h1", "h2"], "left_semi"), "decon-hits")
     items = found.select("row", "length", "h1", "h2").distinct().join(index.select("length", "h1", "h2", "item_id").distinct(), ["length", "h1", "h2"])
     items = items.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
@@ -212,6 +228,7 @@ def _by_join(docs: DataFrame, index: DataFrame, span: int, gram: int) -> DataFra
         base.join(spans, "row", "left")
         .join(items, "row", "left")
         .select(
+            "row",
             "doc_id",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -246,8 +263,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, g
     rows, index = _index(benchmark, span, gram, broadcast_chars)
     if index is not None:
         return docs.mapInArrow(partial(_keep, index=index), docs.schema)
-    hit = _by_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, span, gram).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    # Rows are known by number, so that those which share an id are judged one by one.
+    whole = F.struct(*docs.columns).alias("given")
+    numbered = materialize(docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+    hit = _by_join(numbered.select("row", "doc_id", "text"), rows, span, gram).where("n_hit > 0").select("row")
+    return numbered.join(hit, "row", "left_anti").select("given.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -272,7 +292,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, index = _index(benchmark, span, gram, broadcast_chars)
     if index is None:
-        return _by_join(docs, rows, span, gram)
+        numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+        return _by_join(numbered, rows, span, gram).drop("row")
     return docs.mapInArrow(partial(_scan, index=index), "doc_id long, n_words long, n_hit long, n_items long, items array<long>")
 
 

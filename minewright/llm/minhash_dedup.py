@@ -78,9 +78,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
                 band = p // half
                 keys[:, band] = tc.mix(keys[:, band] * np.uint64(3) + np.minimum.reduceat(image, at))
                 keys[:, band] = tc.mix(keys[:, band] * np.uint64(5) + np.maximum.reduceat(image, at))
-            keys = tc.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(tc.WORD_BASE))
+            keys = tc.mix(keys + np.arange(bands, dtype=np.uint64) * tc.SALT)
             s1 = tc.mix(np.add.reduceat(tc.mix(gram), at))
-            s2 = tc.mix(np.add.reduceat(tc.mix(gram ^ np.uint64(tc.OTHER_BASE)), at))
+            s2 = tc.mix(np.add.reduceat(tc.mix(gram ^ tc.SALT), at))
         signed = np.zeros((batch.num_rows, bands), np.uint64)
         signed[full] = keys
         sums = np.zeros((2, batch.num_rows), np.uint64)
@@ -100,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of the sets of a and its centre b, and their symmetric difference."""
-    for batch in tc.chunks(batches, "text_b", tc.CHUNK_BYTES // 2):
+    for batch in tc.chunks(batches, "text_a", "text_b"):
         one, at1 = _sets(tc.words(batch.column("text_a"), lower=True), k)
         two, at2 = _sets(tc.words(batch.column("text_b"), lower=True), k)
         n = batch.num_rows

@@ -33,15 +33,17 @@ END_ID = 2
 GRAIN = 32
 #: Tokens packed together: about 2000 sequences.
 UNIT_TOKENS = 8 << 20
-#: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 1 << 20
+#: Distinct words, and bytes of words, whose ids a worker keeps.
+MEMO_WORDS = 1 << 19
+MEMO_BYTES = 16 << 20
 
 
 class WordTokenizer:
     """Ids of whole texts from the ids of their words between ASCII white space.
 
     Right for tokenizers that never join characters across white space and
-    drop it; each different word is encoded once for each worker.
+    drop it. Each different word is encoded once for each worker; a word is
+    known by its bytes, and its hash only says where to look.
     """
 
     def __init__(self, definition: str):
@@ -53,38 +55,61 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.words = np.empty(0, np.uint64)
-        self.begin = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.begin = self.count = self.said = self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.bytes = np.empty(0, np.uint8)
 
-    def _learn(self, w: tc.Words, fresh: np.ndarray, hashes: np.ndarray) -> None:
+    def _encode(self, w: tc.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at the given places, and how many each has."""
         raw = w.data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[fresh].tolist(), w.ends[fresh].tolist(), strict=True)]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))])
-        keys = np.concatenate([self.words, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.words = keys[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        return np.fromiter((i for x in got for i in x), np.uint32, int(count.sum())), count
+
+    def _learn(self, w: tc.Words, fresh: np.ndarray) -> None:
+        ids, count = self._encode(w, fresh)
+        size = w.sizes[fresh]
+        begin, said = len(self.ids) + np.cumsum(count) - count, len(self.bytes) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.bytes = np.concatenate([self.bytes, w.data[tc.ragged(w.starts[fresh], size)]])
+        order = np.argsort(np.concatenate([self.words, w.hashes[fresh]]), kind="stable")
+        self.words = np.concatenate([self.words, w.hashes[fresh]])[order]
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        self.said, self.size = np.concatenate([self.said, said])[order], np.concatenate([self.size, size])[order]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.words, hashes)
+        inside = at < len(self.words)
+        inside[inside] = self.words[at[inside]] == hashes[inside]
+        return at, inside
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after another, and where each begins."""
         w = tc.words(texts)
-        if len(self.words) > MEMO_WORDS:
+        if len(self.words) > MEMO_WORDS or len(self.bytes) > MEMO_BYTES:
             self._clear()
-        uniques, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.words, uniques)
-        new = np.ones(len(uniques), bool)
-        inside = at < len(self.words)
-        new[inside] = self.words[at[inside]] != uniques[inside]
-        if new.any():
-            self._learn(w, first[new], uniques[new])
-            at = np.searchsorted(self.words, uniques)
-        count = self.count[at][back]
-        ids = self.ids[tc.ragged(self.begin[at][back], count)]
+        first, back = w.distinct()
+        key = w.hashes[first]
+        _, known = self._find(key)
+        new = np.flatnonzero(~known)
+        new = new[np.unique(key[new], return_index=True)[1]]
+        if len(new):
+            self._learn(w, first[new])
+        at, _ = self._find(key)
+        ids, begin, count = self.ids, self.begin[at], self.count[at]
+        # Another word with the same hash is encoded by itself.
+        size = w.sizes[first]
+        other = self.size[at] != size
+        same = np.flatnonzero(~other)
+        other[same] = ~tc.equal_bytes(w.data, w.starts[first[same]], self.bytes, self.said[at[same]], size[same])
+        odd = np.flatnonzero(other)
+        if len(odd):
+            own, n = self._encode(w, first[odd])
+            begin[odd], count[odd] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, own])
+        count = count[back]
+        ids = ids[tc.ragged(begin[back], count)]
         total = np.concatenate([[0], np.cumsum(count)])
         return ids, total[w.docs]
 

@@ -54,10 +54,9 @@ def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair = tc.mix(shape[:-1] * np.uint64(3) + shape[1:])[same]
     echo = np.full(n - 1, 1, np.uint64)[same & (w.hashes[1:] == w.hashes[:-1])]
     echoing = doc[1:][same & (w.hashes[1:] == w.hashes[:-1])]
-    salt = np.uint64(tc.OTHER_BASE)
     return distinct_terms(
         np.concatenate([doc, doc[1:][same], echoing, doc]),
-        np.concatenate([tc.mix(shape ^ salt), pair, echo, w.hashes]),
+        np.concatenate([tc.mix(shape ^ tc.SALT), pair, echo, w.hashes]),
     )
 
 

@@ -49,7 +49,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Itera
                 batch.column("doc_id").take(pa.array(doc)),
                 batch.column("text_key").take(pa.array(doc)),
                 pa.array(least[first].view(np.int64)),
-                pa.array(w.spans(begin, begin + n + span - 1).view(np.int64)),
+                pa.array(w.spans(begin, begin + n + span - 1, 1).view(np.int64)),
                 pa.array((begin - w.docs[doc]).astype(np.int32)),
                 pa.array(n.astype(np.int32)),
             ],
@@ -74,7 +74,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
                 batch.column("doc_id").take(pa.array(doc)),
                 batch.column("text_key").take(pa.array(doc)),
                 pa.array(anchor),
-                pa.array(w.spans(at, at + span).view(np.int64)),
+                pa.array(w.runs(at, span, 1).view(np.int64)),
                 pa.array(offset.astype(np.int32)),
             ],
             ["doc_id", "text_key", "anchor", "window", "start"],

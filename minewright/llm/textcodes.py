@@ -1,13 +1,18 @@
-"""Words and rolling hashes of Arrow text columns, computed on whole byte buffers.
+"""Words and hashes of Arrow text columns, computed on whole byte buffers.
 
 Texts are never split into Python strings: word borders come from a table
-over byte values, a word's hash from prefix sums of its bytes, and the hash of
-any run of words from prefix sums of word hashes. All arithmetic is modulo
-2**64, so the same words give the same hash in every task.
+over byte values. A word's hash chains a bijective scrambling over its bytes,
+eight at a time, and the hash of a run of words joins those of its two halves,
+level by level (as in naming by doubling). Neither is linear, so regular texts
+don't cancel out, and the same words give the same hash in every task. Each
+exists for two seeds that share nothing. Where even a chance collision must not
+matter, `Words.distinct` tells words apart by their bytes.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +20,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
-_SEGMENT = 4 << 20
-
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-OTHER_BASE = 0xD6E8FEB86659FD93 | 1
+#: Bytes of a word up to which it is hashed side by side with others.
+WIDE = 64
+SALT = np.uint64(0x589965CC75374CC3)
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_LEFT = np.uint64(0xA0761D6478BD642F)
+_RIGHT = np.uint64(0xE7037ED1A0B428DB)
+#: For 0 to 8 bytes, those bits of a block that they fill.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -34,25 +43,6 @@ ALNUM[0x30:0x3A] = True
 ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    kept = _powers.get(base)
-    if kept is None or len(kept[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        kept = both[0], both[1]
-        if size <= 2 * _SEGMENT:
-            _powers[base] = kept
-    return kept[0][:n], kept[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -63,6 +53,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash from those of two runs of words; the order counts."""
+    x = a * _LEFT
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= _RIGHT
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """At each byte, it and the seven behind it as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def equal_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes of a from at[i] on are those of b from bt[i] on."""
+    out = np.ones(len(size), bool)
+    one, two = blocks(a), blocks(b)
+    live = np.flatnonzero(size > 0)
+    for k in range(0, WIDE, 8):
+        if not len(live):
+            return out
+        own = _FILLED[np.minimum(size[live] - k, 8)]
+        out[live] &= (one[at[live] + k] ^ two[bt[live] + k]) & own == 0
+        live = live[(size[live] > k + 8) & out[live]]
+    for i in live.tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[bt[i] : bt[i] + size[i]])
+    return out
+
+
 class Words:
     """The words of a run of texts.
 
@@ -87,12 +109,17 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.docs = np.searchsorted(self.starts, bounds)
-        self._hashes: np.ndarray | None = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.docs)
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each word."""
+        return self.ends - self.starts
+
     @property
     def doc_of(self) -> np.ndarray:
         """The text that each word is of."""
@@ -101,42 +128,86 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if self._hashes is None:
-            out = np.empty(len(self.starts), np.uint64)
-            lo = 0
-            while lo < len(out):
-                hi = int(np.searchsorted(self.ends, self.starts[lo] + _SEGMENT, "right"))
-                hi = max(hi, lo + 1)
-                a, b = int(self.starts[lo]), int(self.ends[hi - 1])
-                power, inverse = powers(BYTE_BASE, b - a + 1)
-                sums = np.zeros(b - a + 1, np.uint64)
-                np.cumsum((self.data[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=sums[1:])
-                s, e = self.starts[lo:hi] - a, self.ends[lo:hi] - a
-                out[lo:hi] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-                lo = hi
-            self._hashes = out
-        return self._hashes
-
-    def sums(self, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of the word hashes, and base**-i."""
-        n = len(self.hashes)
-        power, inverse = powers(base, n + 1)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * power[:n], out=out[1:])
-        return out, inverse
-
-    def grams(self, k: int, base: int = WORD_BASE) -> np.ndarray:
+        return self.hash(0)
+
+    def hash(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, one for each seed."""
+        kept = self._hashes.get(seed)
+        if kept is not None:
+            return kept
+        size = self.sizes
+        first = np.uint64(_SEEDS[seed])
+        block = blocks(self.data)
+        out = mix((block[self.starts] & _FILLED[np.minimum(size, 8)]) ^ first * size.astype(np.uint64))
+        live = np.flatnonzero((size > 8) & (size <= WIDE))
+        for k in range(8, WIDE, 8):
+            if not len(live):
+                break
+            more = block[self.starts[live] + k] & _FILLED[np.minimum(size[live] - k, 8)]
+            out[live] = mix(out[live] * _STEP ^ more ^ first)
+            live = live[size[live] > k + 8]
+        for i in np.flatnonzero(size > WIDE).tolist():
+            said = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, person=b"words%d" % seed)
+            out[i] = int.from_bytes(said.digest(), "little")
+        self._hashes[seed] = out
+        return out
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """A first place of each different word, and for each word the number of its kind, told apart by bytes."""
+        _, first, back = np.unique(self.hashes, return_index=True, return_inverse=True)
+        size, like = self.sizes, first[back]
+        same = size == size[like]
+        at = np.flatnonzero(same & (like != np.arange(len(like))))
+        same[at] = equal_bytes(self.data, self.starts[at], self.data, self.starts[like[at]], size[at])
+        odd: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():
+            said = self.data[self.starts[i] : self.ends[i]].tobytes()
+            if said not in odd:
+                odd[said] = len(first) + len(more)
+                more.append(i)
+            back[i] = odd[said]
+        return np.concatenate([first, np.array(more, first.dtype)]), back
+
+    def grams(self, k: int, seed: int = 0) -> np.ndarray:
         """Hash of the k words from each position on; those at which fewer are left are absent."""
-        n = len(self.hashes) - k + 1
+        n = len(self.starts) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        sums, inverse = self.sums(base)
-        return mix((sums[k : k + n] - sums[:n]) * inverse[:n])
-
-    def spans(self, start: np.ndarray, stop: np.ndarray, base: int = OTHER_BASE) -> np.ndarray:
-        """Hash of the words from start to stop of each given span."""
-        sums, inverse = self.sums(base)
-        return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        level, have = self.hash(seed), 1
+        while 2 * have <= k:
+            level, have = join(level[:-have], level[have:]), 2 * have
+        if have < k:
+            level = join(level[:n], level[k - have : k - have + n])
+        return mix(level[:n] + np.uint64(k))
+
+    def spans(self, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hash of the words from start to stop of each given span; that of k words equals their gram's."""
+        n = stop - start
+        out = np.zeros(len(start), np.uint64)
+        level, have = self.hash(seed), 1
+        while len(n) and have <= n.max():
+            own = np.flatnonzero((n >= have) & (n < 2 * have))
+            a = level[start[own]]
+            long = n[own] > have
+            out[own] = np.where(long, join(a, level[stop[own] - have]), a)
+            if 2 * have > len(self.starts):
+                break
+            level, have = join(level[:-have], level[have:]), 2 * have
+        return mix(out + n.astype(np.uint64))
+
+    def runs(self, at: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+        """The grams of k words at a few places only."""
+        out = np.empty(len(at), np.uint64)
+        own = self.hash(seed)
+        for lo in range(0, len(at), 1 << 16):
+            level, have = own[at[lo : lo + (1 << 16), None] + np.arange(k)], 1
+            while 2 * have <= k:
+                level, have = join(level[:, :-have], level[:, have:]), 2 * have
+            if have < k:
+                level = join(level[:, :1], level[:, k - have : k - have + 1])
+            out[lo : lo + (1 << 16)] = level[:, 0]
+        return mix(out + np.uint64(k))
 
     def inside(self, k: int) -> np.ndarray:
         """Positions at which k words of one text begin."""
@@ -169,17 +240,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about limit bytes of text each; a longer text stands alone."""
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about limit bytes in the given text columns; a longer row stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        _, bounds = text_bytes(batch.column(column))
+        bounds = sum(text_bytes(batch.column(c))[1] for c in columns or ("text",))
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    trim()
 
 
 def words(texts: pa.Array, word_bytes: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
@@ -194,3 +266,12 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

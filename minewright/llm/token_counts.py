@@ -120,8 +120,8 @@ def _counts(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterato
     automaton = _automaton(vocabulary.value)
     for batch in tc.chunks(batches):
         w = tc.words(batch.column("text"))
-        _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        tokens = automaton.count(w.data, w.starts[first], (w.ends - w.starts)[first])[back]
+        first, back = w.distinct()
+        tokens = automaton.count(w.data, w.starts[first], w.sizes[first])[back]
         total = np.concatenate([[0], np.cumsum(tokens)])[w.docs]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(np.diff(w.bounds)), pa.array(np.diff(total))],
