@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from minewright.llm import textcodes as tc
 from minewright.runtime import materialize
 
-#: (text number, term, frequency) of each different term of each text of a batch.
-Extract = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (text number, term, frequency) of each different term of each text of a batch; of known terms (ascending) alone if they are given.
+Extract = Callable[[pa.Array, np.ndarray | None], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def fold(id_column: str, modulus: int, remainder: int):  # noqa: ANN201
@@ -27,7 +27,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, per_class:
 
     Rows that are held out, or have no id or label, are never used. An id
     with several labels counts as 1 if any of them is 1. The rows are those
-    with the least hash of their id, so they depend on the ids alone.
+    with the least hash of their id, so they depend on the ids alone. An id
+    stands for one row: of its texts, the one with the least hash.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(f"doc_id is not null and y in (0, 1)").where(~held_out)
@@ -39,7 +40,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, per_class:
         chosen = part if chosen is None else chosen.union(part)
     chosen = materialize(chosen, "label-ids")
     # At most 2 * per_class ids of 12 bytes.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"))
     n = sum(totals.values())
     return materialize(rows, "label-texts"), {y: c / n for y, c in totals.items()} if n else {}
 
@@ -55,10 +56,18 @@ def distinct_terms(doc: np.ndarray, term: np.ndarray, weight: np.ndarray | None
     return doc[at], term[at], np.add.reduceat(weight, at) if len(at) else weight[:0]
 
 
+def among(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of x is one of the ascending keys, and its place there."""
+    if not len(keys):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return keys[at] == x, at
+
+
 def _document_frequency(batches: Iterator[pa.RecordBatch], extract: Extract) -> Iterator[pa.RecordBatch]:
     for batch in tc.chunks(batches):
         y = batch.column("y").to_numpy()
-        doc, term, _ = extract(batch.column("text"))
+        doc, term, _ = extract(batch.column("text"), None)
         terms, back = np.unique(term, return_inverse=True)
         ones = np.bincount(back, y[doc] == 1, len(terms)).astype(np.int64)
         both = np.bincount(back, minlength=len(terms)).astype(np.int64)
@@ -77,10 +86,8 @@ class Vocabulary:
 
     def vectors(self, texts: pa.Array, extract: Extract) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF vectors of texts as sparse rows: cuts, columns, weights."""
-        doc, term, tf = extract(texts)
-        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self) - 1))
-        there = self.terms[at] == term if len(self) else np.zeros(len(term), bool)
-        doc, at, tf = doc[there], at[there], tf[there]
+        doc, term, tf = extract(texts, self.terms)
+        at = np.searchsorted(self.terms, term)
         weight = (1 + np.log(tf)) * self.idf[at]
         norm = np.sqrt(np.bincount(doc, weight * weight, len(texts)))
         weight = weight / norm[doc]

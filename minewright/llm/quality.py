@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
-from minewright.llm.labelled import Vocabulary, choose_terms, distinct_terms, fold, sample
+from minewright.llm.labelled import Vocabulary, among, choose_terms, distinct_terms, fold, sample
 from minewright.runtime import ship_package
 
 #: Labelled rows of each class that the model may hold.
@@ -38,7 +38,7 @@ _CLASS[0x61:0x7B] = ord("a")
 _CLASS[0x80:] = ord("a")
 
 
-def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extract(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shapes, pairs of shapes, repetitions and words, with frequencies."""
     w = tc.words(texts)
     doc = w.doc_of
@@ -54,10 +54,22 @@ def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair = tc.mix(shape[:-1] * np.uint64(3) + shape[1:])[same]
     echo = np.full(n - 1, 1, np.uint64)[same & (w.hashes[1:] == w.hashes[:-1])]
     echoing = doc[1:][same & (w.hashes[1:] == w.hashes[:-1])]
-    return distinct_terms(
-        np.concatenate([doc, doc[1:][same], echoing, doc]),
-        np.concatenate([tc.mix(shape ^ tc.SALT), pair, echo, w.hashes]),
-    )
+    docs, terms = np.concatenate([doc, doc[1:][same], echoing, doc]), np.concatenate([tc.mix(shape ^ tc.SALT), pair, echo, w.hashes])
+    if known is not None:
+        own = among(terms, known)[0]
+        docs, terms = docs[own], terms[own]
+    return distinct_terms(docs, terms)
+
+
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest values of each row; of values that agree to 1e-12, the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1)
+    for i in np.flatnonzero((cosine >= least[:, None] - 1e-12).sum(1) > k).tolist():
+        above = np.flatnonzero(cosine[i] > least[i] + 1e-12)
+        tied = np.flatnonzero(np.abs(cosine[i] - least[i]) <= 1e-12)
+        near[i] = np.concatenate([above, tied[: k - len(above)]])
+    return near
 
 
 class Model:
@@ -79,8 +91,7 @@ class Model:
         out = np.empty(len(texts))
         for lo in range(0, len(texts), 512):
             cosine = self.latent(texts.slice(lo, 512)) @ self.examples.T
-            k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, min(NEIGHBOURS, cosine.shape[1]))
             vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 2 * self.weight[near]
             out[lo : lo + 512] = ((vote * self.y[near]).sum(1) + 1e-3 * self.share) / (vote.sum(1) + 1e-3)
         return np.clip(out, 0, 1)
@@ -129,8 +140,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainde
     (1 from a score of 0.7).
 
     Null, empty and blank texts have no terms and score the share of label 1
-    among the labelled rows (0.5 without labels). Null ids are not held out.
-    Repeated rows score alike. Only the text is scored; other columns are not
+    among the labelled rows (0.5 without labels). Of labelled documents that
+    are equally near, those with the smaller ids vote. Null ids are not held
+    out. Repeated rows score alike. Only the text is scored; other columns are not
     read; an empty table gives no rows.
     """
     spark = docs.sparkSession

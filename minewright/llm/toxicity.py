@@ -7,7 +7,9 @@ postings are stored block by block, and for each term and block the greatest
 weight is kept. A text's blocks are visited in descending order of the bound
 that these give, until no further block can reach the k-th best cosine, so the
 neighbours are exact. Each votes with its cosine; a constant vote for the
-class's share pulls texts without near examples there.
+class's share pulls texts without near examples there. What such a vote is
+worth is learnt from the examples themselves, each judged by all others: a
+logistic curve turns votes into calibrated scores.
 """
 
 from __future__ import annotations
@@ -22,44 +24,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
-from minewright.llm.labelled import Vocabulary, choose_terms, distinct_terms, fold, sample
+from minewright.llm.labelled import Vocabulary, among, choose_terms, distinct_terms, fold, sample
 from minewright.runtime import ship_package
 
 #: Labelled rows of each class that the index may hold.
 PER_CLASS = 6000
-TERMS = 4096
+TERMS = 256
 NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
 CUT = 0.7
 BLOCK = 64
 #: Blocks that are looked into before the first test of bounds; each further step takes four times as many.
 FIRST_BLOCKS = 8
-#: Bytes of a word's beginnings that are terms.
+#: Bytes of a word's beginnings that are terms; at most 8.
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Different vectors whose votes a worker keeps.
+MEMO = 1 << 15
 
 
-def extract(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extract(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (A-Z lower-cased) and their beginnings, with frequencies."""
     w = tc.words(texts, tc.ALNUM, lower=True)
-    doc, word, tf = distinct_terms(w.doc_of, w.hashes)
-    _, first = np.unique(w.hashes, return_index=True)
-    uniques = w.hashes[first]
-    size = (w.ends - w.starts)[first]
-    at = np.searchsorted(uniques, word)
-    docs, terms, counts = [doc], [word], [tf]
+    uniques, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+    size, block = w.sizes[first], tc.blocks(w.data)[w.starts[first]]
+    # The terms of each different word come first, then only words with a wanted term are looked at.
+    own, terms = [np.arange(len(first))], [uniques]
     for k in STEMS:
-        stem = np.zeros(len(first), np.uint64)
         long = np.flatnonzero(size >= k)
-        for b in range(k):
-            stem[long] = stem[long] * np.uint64(0x100000001B3) + w.data[w.starts[first[long]] + b] + np.uint64(1)
-        stem = tc.mix(stem + np.uint64(k))
-        has = np.zeros(len(first), bool)
-        has[long] = True
-        own = np.flatnonzero(has[at])
-        docs.append(doc[own])
-        terms.append(stem[at[own]])
-        counts.append(tf[own])
-    return distinct_terms(np.concatenate(docs), np.concatenate(terms), np.concatenate(counts))
+        own.append(long)
+        terms.append(tc.mix((block[long] & np.uint64((1 << 8 * k) - 1)) ^ (tc.SALT >> np.uint64(k))))
+    own, terms = np.concatenate(own), np.concatenate(terms)
+    if known is not None:
+        there = among(terms, known)[0]
+        own, terms = own[there], terms[there]
+    order = np.argsort(own, kind="stable")
+    terms = terms[order]
+    many = np.bincount(own, minlength=len(first))
+    begin = np.cumsum(many) - many
+    seen = np.flatnonzero(many[back])
+    word = back[seen]
+    return distinct_terms(np.repeat(w.doc_of[seen], many[word]), terms[tc.ragged(begin[word], many[word])])
 
 
 class BlockMaxIndex:
@@ -75,6 +79,8 @@ class BlockMaxIndex:
         place = np.lexsort((ids, labels, heavy))
         rank = np.empty(n, np.int64)
         rank[place] = np.arange(n)
+        #: The place of each given example.
+        self.rank = rank
         self.ids, self.labels = ids[place], labels[place]
         self.blocks = max(1, -(-n // BLOCK))
         doc = rank[row]
@@ -85,9 +91,19 @@ class BlockMaxIndex:
         self.most = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.most, (term, block), self.weight)
 
-    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine; ties to the first place."""
-        bound = weights @ self.most[columns]
+    def bounds(self, cuts: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each of several texts, what its cosine with any example of a block can reach."""
+        x = np.zeros((len(cuts) - 1, len(self.most)))
+        x[np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), columns] = weights
+        return x @ self.most
+
+    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int, bound: np.ndarray | None = None, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a positive cosine, without place `but`.
+
+        Cosines that agree to 12 places are ties, which go to the first places.
+        """
+        if bound is None:
+            bound = weights @ self.most[columns]
         order = np.argsort(-bound, kind="stable")
         order = order[: int(np.count_nonzero(bound > 0))]
         place, cosine = np.empty(0, np.int64), np.empty(0)
@@ -109,7 +125,9 @@ class BlockMaxIndex:
             doc = self.doc[posting]
             value = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.weight[posting] * np.repeat(np.repeat(weights, len(group)), count), len(group) * BLOCK)
             found = np.flatnonzero(value > 0)
-            place = np.concatenate([place, group[found // BLOCK] * BLOCK + found % BLOCK])
+            where = group[found // BLOCK] * BLOCK + found % BLOCK
+            found, where = found[where != but], where[where != but]
+            place = np.concatenate([place, where])
             cosine = np.concatenate([cosine, value[found]])
             if len(place) > k:
                 rounded = np.round(cosine, 12)
@@ -123,25 +141,69 @@ class BlockMaxIndex:
         return place, cosine
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 1.0, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) for which 1 / (1 + exp(-a x - b)) fits y best; `prior` draws them towards (1, 0)."""
+    theta = np.array([1.0, 0.0])
+    design = np.stack([x, np.ones(len(x))], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+        slope = design.T @ (weight * (y - p)) - prior * (theta - [1.0, 0.0])
+        bend = (design * (weight * p * (1 - p))[:, None]).T @ design + prior * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        theta = theta + step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(theta[0]), 0.0), float(theta[1])
+
+
 class Model:
-    """Vocabulary, index, and the classes' shares and weights."""
+    """Vocabulary, index, the classes' shares and weights, and the curve from votes to scores."""
 
     def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex | None, share: float, weight: tuple[float, float]):
         self.vocabulary, self.index, self.share, self.weight = vocabulary, index, share, weight
+        self.curve = (1.0, 0.0)
+        self.memo: dict[bytes, tuple[float, list[int]]] = {}
+
+    def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
+        y = self.index.labels[place] == 1
+        vote = cosine * np.where(y, self.weight[1], self.weight[0])
+        return min(1.0, float((vote @ y + PRIOR_VOTES * self.share) / (vote.sum() + PRIOR_VOTES)))
+
+    @staticmethod
+    def _odds(votes: np.ndarray) -> np.ndarray:
+        inside = np.clip(votes, 1e-3, 1 - 1e-3)
+        return np.log(inside / (1 - inside))
+
+    def calibrate(self, cuts: np.ndarray, columns: np.ndarray, weights: np.ndarray, y: np.ndarray, place: np.ndarray) -> None:
+        """Fit the curve to the examples, each judged by all others."""
+        if len(set(y.tolist())) < 2:
+            return
+        votes, bound = np.full(len(y), self.share), self.index.bounds(cuts, columns, weights)
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[i], cuts[i + 1])
+            votes[i] = self.vote(*self.index.nearest(columns[own], weights[own], NEIGHBOURS, bound[i], int(place[i])))
+        # Examples weigh what they stand for among all labelled rows.
+        weight = np.where(y == 1, self.weight[1], self.weight[0])
+        self.curve = logistic(self._odds(votes), (y == 1).astype(float), weight * len(y) / weight.sum())
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
-        score, evidence = np.full(len(texts), self.share), [[] for _ in range(len(texts))]
+        votes, evidence = np.full(len(texts), self.share), [[] for _ in range(len(texts))]
         if self.index is None or not len(self.vocabulary):
-            return score, evidence
+            return votes, evidence
         cuts, columns, weights = self.vocabulary.vectors(texts, extract)
-        for d in np.flatnonzero(np.diff(cuts)).tolist():
+        some = np.flatnonzero(np.diff(cuts))
+        bound = self.index.bounds(np.append(cuts[some], cuts[-1]), columns, weights)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        for d, top in zip(some.tolist(), bound, strict=True):
             own = slice(cuts[d], cuts[d + 1])
-            place, cosine = self.index.nearest(columns[own], weights[own], NEIGHBOURS)
-            y = self.index.labels[place]
-            vote = cosine * np.where(y == 1, self.weight[1], self.weight[0])
-            score[d] = min(1.0, float((vote @ (y == 1) + PRIOR_VOTES * self.share) / (vote.sum() + PRIOR_VOTES)))
-            evidence[d] = self.index.ids[place].tolist()
-        return score, evidence
+            key = columns[own].tobytes() + weights[own].tobytes()
+            if key not in self.memo:
+                place, cosine = self.index.nearest(columns[own], weights[own], NEIGHBOURS, top)
+                self.memo[key] = self.vote(place, cosine), self.index.ids[place].tolist()
+            votes[d], evidence[d] = self.memo[key]
+        a, b = self.curve
+        return 1 / (1 + np.exp(-(a * self._odds(votes) + b))), evidence
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -157,7 +219,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
 def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", per_class: int = PER_CLASS) -> Model:  # noqa: ANN001
     rows, shares = sample(docs, labels, label, held_out, per_class)
     vocabulary = choose_terms(rows, extract, TERMS)
-    share = shares.get(1, 0.0)
+    share = shares.get(1, 0.0) if shares else 0.5
     if not len(vocabulary):
         return Model(vocabulary, None, share, (1.0, 1.0))
     # At most 2 * per_class vectors over TERMS terms.
@@ -172,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", pe
     size = [max(1, int((y == c).sum())) for c in (0, 1)]
     weight = [shares.get(c, 0.0) / size[c] for c in (0, 1)]
     top = max(weight) or 1.0
-    return Model(vocabulary, index, share, (weight[0] / top, weight[1] / top))
+    model = Model(vocabulary, index, share, (weight[0] / top, weight[1] / top))
+    model.calibrate(cuts, columns, weights, y, index.rank)
+    return model
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -192,10 +256,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
     from. Returns for each row doc_id, held_out, score (0 to 1), predicted (1
     from a score of 0.7) and evidence (ids of the nearest labelled examples).
 
-    Null, empty and neutral texts score the share of label 1 among the
-    labelled rows, and have no evidence; without labels all score 0. Null ids are not held
-    out. Repeated rows score alike. Only the text is scored; other columns
-    are not read; an empty table gives no rows.
+    Null, empty and neutral texts have no evidence; their vote is the share of
+    label 1 among the labelled rows, and their score what the curve makes of
+    it. Without labels all score 0.5. Of labelled examples that are equally
+    near, those that come first in the index vote. Null ids are not held out.
+    Repeated rows score alike. Only the text is scored; other columns are not
+    read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
