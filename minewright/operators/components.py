@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minewright.operators.skew import join_counted
 from minewright.runtime import discard, materialize
 
 
@@ -23,7 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     dropped; an empty edge table gives an empty result. Each round is a
     large-star and a small-star step: the edge count never grows, and a hub is
     met only in a min() aggregate with map-side combine and in a join whose
-    other side has one row per node, which AQE may split. The number of
+    other side has one row per node, which for hubs is broadcast. The number of
     rounds is logarithmic in the size of the graph. State is kept as written
     tables, so losing an executor costs no recomputation of earlier rounds.
     """
@@ -38,12 +39,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen[0] == 0:
             break
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = materialize(least.select("u", F.least("u", "m").alias("m"), "n"), "stars-least")
+        large = join_counted(both.where("v > u"), least, ["u"], 2 * seen[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = materialize(large.where("hi <> lo").distinct(), "stars-large")
+        # A node has no more rows here than it had neighbours, all of them smaller.
+        root = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(root, "hi")
+            join_counted(large, root, ["hi"], seen[0])
             .select(F.col("lo").alias("x"), F.col("m"))
             .union(root.select(F.col("hi").alias("x"), "m"))
             .where("x <> m")
@@ -52,7 +55,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         )
         then = materialize(small, "stars")
         after = _state(then)
-        discard(now)
+        discard(now, least, large)
         now = then
         if after == seen:
             break
