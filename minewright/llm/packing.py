@@ -15,6 +15,7 @@ histogram, so nothing is shuffled, and a lost task repeats only its own rows.
 from __future__ import annotations
 
 import os
+import warnings
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -31,9 +32,10 @@ from minewright.runtime import ship_package
 LENGTH = 4096
 END_ID = 2
 GRAIN = 32
-#: Tokens packed together: about 2000 sequences.
-UNIT_TOKENS = 8 << 20
-#: Distinct words, and bytes of words, whose ids a worker keeps.
+#: Tokens packed together: about 1000 sequences; and tokens of pieces that leave together.
+UNIT_TOKENS = 4 << 20
+SEND_TOKENS = 1 << 18
+#: Distinct words, and bytes of words, whose ids a task keeps.
 MEMO_WORDS = 1 << 19
 MEMO_BYTES = 16 << 20
 
@@ -42,7 +44,7 @@ class WordTokenizer:
     """Ids of whole texts from the ids of their words between ASCII white space.
 
     Right for tokenizers that never join characters across white space and
-    drop it. Each different word is encoded once for each worker; a word is
+    drop it. Each different word is encoded once for each task; a word is
     known by its bytes, and its hash only says where to look.
     """
 
@@ -51,9 +53,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.words = np.empty(0, np.uint64)
         self.begin = self.count = self.said = self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
@@ -88,7 +90,7 @@ class WordTokenizer:
         """All ids of the texts, one text after another, and where each begins."""
         w = tc.words(texts)
         if len(self.words) > MEMO_WORDS or len(self.bytes) > MEMO_BYTES:
-            self._clear()
+            self.clear()
         first, back = w.distinct()
         key = w.hashes[first]
         _, known = self._find(key)
@@ -128,13 +130,17 @@ def patterns(bins: int) -> np.ndarray:
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by the active set method of Lawson and Hanson.
+
+    Should it not settle in three rounds for each unknown, it warns and gives
+    the x so far, which is still feasible.
+    """
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
     gram, target = a.T @ a, a.T @ b
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(3 * n):
         slope = target - gram @ x
         slope[free] = -np.inf
         best = int(slope.argmax())
@@ -155,22 +161,25 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             x[~free] = 0
             if not free.any():
                 break
+    else:
+        warnings.warn("nnls did not settle", RuntimeWarning, stacklevel=2)
     return x
 
 
 def combine(sizes: np.ndarray, length: int, grain: int) -> tuple[list[list[int]], list[int]]:
     """Pieces (indices into sizes) that share a window each, and the residual pieces."""
     bins = length // grain
-    kind = -(-sizes // grain)
-    have = np.bincount(kind, minlength=bins + 1)
+    # Sizes above the last whole bin, where `grain` doesn't divide `length`, are residual.
+    kind = np.minimum(-(-sizes // grain), bins + 1)
+    have = np.bincount(kind, minlength=bins + 2)
     shapes = patterns(bins)
     matrix = np.zeros((bins + 1, len(shapes)))
     for k in range(3):
         np.add.at(matrix, (shapes[:, k], np.arange(len(shapes))), 1)
     matrix[0] = 0
-    possible = (matrix <= have[:, None]).all(0)
+    possible = (matrix <= have[:-1, None]).all(0)
     shapes, matrix = shapes[possible], matrix[:, possible]
-    want = np.floor(nnls(matrix, have.astype(float)) + 1e-9).astype(int) if len(shapes) else np.empty(0, int)
+    want = np.floor(nnls(matrix, have[:-1].astype(float)) + 1e-9).astype(int) if len(shapes) else np.empty(0, int)
     order = np.argsort(kind, kind="stable")
     ends = np.cumsum(have)
     nxt, stop = (ends - have).tolist(), ends.tolist()
@@ -188,7 +197,7 @@ def combine(sizes: np.ndarray, length: int, grain: int) -> tuple[list[list[int]]
                 window.append(int(order[nxt[p]]))
                 nxt[p] += 1
             windows.append(window)
-    rest = [int(i) for p in range(bins, 0, -1) for i in order[nxt[p] : stop[p]]]
+    rest = [int(i) for p in range(bins + 1, 0, -1) for i in order[nxt[p] : stop[p]]]
     spare = int(sizes[rest].sum()) if rest else 0
     slack = [length - int(sizes[x].sum()) for x in windows]
     total = sum(slack)
@@ -270,13 +279,18 @@ def _packed(batches: Iterator[pa.RecordBatch], definition: Broadcast, length: in
             pa.array(pieces[:, 3] + serial),
             pa.array(pieces[:, 4]),
         ]
-        fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        if with_ids:
-            cuts = np.concatenate([[0], np.cumsum(pieces[:, 2])]).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids[tc.ragged(lo // 4, pieces[:, 2])].astype(np.int32))))
-            fields.append("ids")
+        table = pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        upto = np.concatenate([[0], np.cumsum(pieces[:, 2])])
+        a = 0
+        while a < len(pieces):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + SEND_TOKENS, "right")) - 1)
+            part = table.slice(a, b - a)
+            if with_ids:
+                own = pa.array(ids[tc.ragged(lo[a:b] // 4, pieces[a:b, 2])].view(np.int32))
+                part = part.append_column("ids", pa.ListArray.from_arrays(pa.array((upto[a : b + 1] - upto[a]).astype(np.int32)), own))
+            yield part
+            a = b
         serial += int(pieces[:, 3].max()) + 1
-        yield pa.RecordBatch.from_arrays(columns, fields)
 
     for batch in tc.chunks(batches):
         ids, at = encoder.encode(batch.column("text"))
@@ -290,6 +304,8 @@ def _packed(batches: Iterator[pa.RecordBatch], definition: Broadcast, length: in
             yield from flush()
     if held:
         yield from flush()
+    encoder.clear()
+    tc.trim()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
