@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from minewright.plans.exploration import rounded
 from minewright.plans.registry import query
 from minewright.runtime import table
-from minewright.streaming import sketches, windows
+from minewright.streaming import dgim, sketches, windows
 
 STATS = ("sum", "average", "std")
 
@@ -121,7 +121,27 @@ def hll_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sketches.hll_sweep(table(spark, sf, "lineitem"), "l_partkey", [4, 8, 11]), "estimate", "bound")
 
 
-@query("str7_dgim")
-def dgim(spark: SparkSession, sf: str) -> DataFrame:
+#: Buckets of the ones in base two with digits 1 and 2, from a table t (grp, place, bit, ones) and e (grp, now, m).
+BUCKETS_SQL = """h AS (SELECT grp, now, size, lft * size - i * size AS one FROM (SELECT grp, now, size, (m + 1) // size - 1 AS lft FROM e, (SELECT CAST(pow(2, j) AS BIGINT) AS size FROM range(0, 40) r(j))),
+  (SELECT unnest([0, 1]) AS i) WHERE lft > 0 AND i <= 1 - lft % 2),
+b AS (SELECT h.grp, now, size, place FROM h JOIN t ON t.grp = h.grp AND t.ones = h.one AND t.bit = 1)"""
+
+
+@query("str7_dgim", f"""WITH t AS (SELECT event_type AS grp, CAST(coalesce(value > 50, false) AS INTEGER) AS bit, row_number() OVER w AS place, sum(CAST(coalesce(value > 50, false) AS INTEGER)) OVER w AS ones
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), e AS (SELECT grp, max(place) AS now, max(ones) AS m FROM t GROUP BY 1), {BUCKETS_SQL},
+s AS (SELECT grp, sum(size) - max(size) / 2 AS estimate, count(*) AS buckets FROM b WHERE place > now - 1000 GROUP BY 1)
+SELECT grp, coalesce(estimate, 0.0) AS estimate, coalesce(buckets, 0) AS buckets, round(coalesce(buckets, 0) * {dgim.memory_bits(1000)!r}, 6) AS bits FROM e LEFT JOIN s USING (grp)""")
+def dgim_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") > 50).alias("bit"))
-    return sketches.dgim_by_group(rows, "event_type", ["ts", "event_id"], "bit", 1000)
+    return rounded(dgim.dgim_by_group(rows, "event_type", ["ts", "event_id"], "bit", 1000), "bits")
+
+
+@query("str10_dgim_evaluation", "WITH t AS (SELECT 'all' AS grp, CAST(coalesce(value > 50, false) AS INTEGER) AS bit, row_number() OVER w AS place, sum(CAST(coalesce(value > 50, false) AS INTEGER)) OVER w AS ones "
+       "FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), e AS (SELECT grp, place AS now, ones AS m FROM t WHERE place % greatest(1, (SELECT count(*) FROM t) // 80) = 0), "
+       f"{BUCKETS_SQL}, k AS (SELECT unnest([100, 1000, 5000, 100000]) AS n), "
+       "s AS (SELECT n, now, sum(size) - max(size) / 2 AS estimate FROM b, k WHERE place > now - n GROUP BY ALL), "
+       "x AS (SELECT n, e.now, m - coalesce(t.ones, 0) AS exact FROM e CROSS JOIN k LEFT JOIN t ON t.place = e.now - n WHERE n <= (SELECT count(*) FROM t)) "
+       "SELECT n, round(avg(abs(coalesce(estimate, 0) - exact) / exact), 8) AS mean_error, round(max(abs(coalesce(estimate, 0) - exact) / exact), 8) AS max_error FROM x LEFT JOIN s USING (n, now) WHERE exact > 0 GROUP BY n")
+def dgim_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("ts", "event_id", (F.col("value") > 50).alias("bit"))
+    return rounded(dgim.dgim_errors(dgim.dgim_evaluate(rows, ["ts", "event_id"], "bit", [100, 1000, 5000, 100000])), "mean_error", "max_error", digits=8)

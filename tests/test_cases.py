@@ -14,7 +14,7 @@ from minewright.operators.decomposition import Svd
 from minewright.plans import registry
 from minewright.sources import jsonl
 from minewright.sources.datasets import ratings
-from minewright.streaming import sketches, windows
+from minewright.streaming import dgim, sketches, windows
 
 
 def edges(spark, *pairs):
@@ -117,19 +117,30 @@ def test_windows_fill_gaps(spark):
     assert [(r["count"], r["sum"], r.average, r.std) for r in got] == [(1, 2.0, 2.0, None), (0, 0.0, None, None), (1, 4.0, 4.0, None)]
 
 
-def test_dgim():
-    d = sketches.Dgim(10)
-    for _ in range(3):
-        d.add(1)
-    assert d.buckets == [[2, 2], [1, 3]] and d.estimate() == 2.0
-    rng, d, bits = random.Random(7), sketches.Dgim(200), []
-    for _ in range(3000):
-        bits.append(int(rng.random() < 0.4))
-        d.add(bits[-1])
-        sizes = [b[0] for b in d.buckets]
-        assert max([sizes.count(s) for s in sizes], default=0) <= 2 and sizes == sorted(sizes, reverse=True)
-        true = sum(bits[-200:])
-        assert abs(d.estimate() - true) <= 0.5 * true + 1
+def test_dgim(spark):
+    """Buckets against a histogram that merges as ones arrive, at every place of a stream."""
+    rng = random.Random(7)
+    bits = [int(rng.random() < 0.4) for _ in range(700)]
+    rows = spark.createDataFrame([("a", i, b) for i, b in enumerate(bits)] + [("b", i, 1) for i in range(3)] + [("c", 0, None)], "g string, i int, bit int")
+    buckets, kept = [], []
+    for t, bit in enumerate(bits, 1):
+        if bit:
+            buckets.insert(0, (t, 1))
+            size = 1
+            while [s for _, s in buckets].count(size) == 3:
+                at = [k for k, (_, s) in enumerate(buckets) if s == size][1:]
+                buckets[at[0] : at[1] + 1] = [(buckets[at[0]][0], 2 * size)]
+                size *= 2
+        kept.append([s for end, s in buckets if end > t - 200])
+    got = {r["now"]: (r.estimate, r.exact) for r in dgim.dgim_evaluate(rows.where("g = 'a'"), ["i"], "bit", [200, 10**6], checkpoints=700).collect()}
+    assert len(got) == 700
+    for t in range(1, 701):
+        sizes, exact = kept[t - 1], sum(bits[max(0, t - 200) : t])
+        assert got[t] == (sum(sizes) - max(sizes, default=0) / 2, exact) and abs(got[t][0] - exact) <= 0.5 * exact + 1
+    ends = {r.grp: (r.estimate, r.buckets, r.bits) for r in dgim.dgim_by_group(rows, "g", ["i"], "bit", 10).collect()}
+    assert ends["b"][:2] == (2.0, 2) and ends["c"] == (0.0, 0, 0.0)
+    assert 12 * dgim.memory_bits(1000) == pytest.approx(202.51, abs=0.01)
+    assert dgim.dgim_by_group(rows.where("false"), "g", ["i"], "bit", 10).count() == 0
 
 
 def test_sketch_bounds(spark):
