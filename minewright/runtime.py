@@ -30,12 +30,15 @@ def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) is a temporary folder made.
+    Only where the setting is absent and the master is local (as in tests) is
+    a temporary folder made; on a cluster executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_minewright_scratch", None)
         if root is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="minewright-")
             spark._minewright_scratch = root
     if spark.sparkContext.getCheckpointDir() is None:
