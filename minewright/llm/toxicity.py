@@ -38,8 +38,8 @@ BLOCK = 64
 FIRST_BLOCKS = 8
 #: Bytes of a word's beginnings that are terms; at most 8.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Different vectors whose votes a worker keeps.
-MEMO = 1 << 15
+#: Different vectors whose votes a task keeps.
+MEMO = 1 << 14
 
 
 def extract(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,6 +246,7 @@ def _apply(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.R
             [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
             [*(c for c in batch.schema.names if c != "text"), "score", "predicted", "evidence"],
         )
+    model.value.memo.clear()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS) -> DataFrame:
@@ -274,6 +275,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
 def _keep(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in tc.chunks(batches):
         yield batch.filter(pa.array(model.value.score(batch.column("text"))[0] < CUT))
+    model.value.memo.clear()
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS) -> DataFrame:
