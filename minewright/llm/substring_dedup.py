@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
 from minewright.llm.decontaminate import covered, per_doc
+from minewright.operators.skew import join_counted
 from minewright.runtime import discard, materialize, ship_package
 
 SPAN = 50
@@ -124,14 +125,17 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """
     stretch = "doc_id long, text_key long, anchor long, extent long, start int, n int"
     all_ = materialize(docs.where("doc_id is not null").mapInArrow(partial(_stretches, span=span, gram=gram), stretch), "sub-stretches")
-    seeds = all_.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    hit = materialize(all_.join(seeds, "anchor"), "sub-seeds")
-    discard(all_)
-    extents = materialize(hit.groupBy("anchor", "extent").agg(F.min("doc_id").alias("first_doc")), "sub-extents")
-    several = extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    known = hit.join(extents, ["anchor", "extent"])
-    whole = known.where("doc_id > first_doc").select("doc_id", "text_key", "start", "n")
-    open_ = known.where("doc_id = first_doc").join(several, "anchor", "left_semi")
+    count = F.count(F.lit(1)).alias("rows")
+    seeds = all_.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), count).where("a < b").select("anchor", "rows")
+    seeds = materialize(seeds, "sub-anchors")
+    hit = materialize(join_counted(all_, seeds, ["anchor"], all_.count(), "rows").drop("rows"), "sub-seeds")
+    discard(all_, seeds)
+    extents = materialize(hit.groupBy("anchor", "extent").agg(F.min("doc_id").alias("first_doc"), count), "sub-extents")
+    known = materialize(join_counted(hit, extents, ["anchor", "extent"], hit.count(), "rows").drop("rows", "extent"), "sub-known")
+    discard(hit)
+    # What an earlier document has not in full may still be in part, if its anchor stands in other surroundings too.
+    several = materialize(extents.groupBy("anchor").agg(count).where("rows > 1"), "sub-several")
+    open_ = join_counted(known.where("doc_id = first_doc"), several, ["anchor"], extents.count(), "rows")
     parts = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("parts"))
     windows = materialize(
         docs.join(parts, ["doc_id", "text_key"]).mapInArrow(
@@ -139,9 +143,12 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         ),
         "sub-windows",
     )
-    earliest = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    partly = windows.join(earliest, ["anchor", "window"]).where("doc_id > first_doc").select("doc_id", "text_key", "start", F.lit(1).alias("n"))
-    return whole.union(partly)
+    discard(extents, several)
+    earliest = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), count)
+    earliest = materialize(earliest.where("first_doc < last_doc").drop("last_doc"), "sub-earliest")
+    partly = join_counted(windows, earliest, ["anchor", "window"], windows.count(), "rows").where("doc_id > first_doc")
+    whole = known.where("doc_id > first_doc").select("doc_id", "text_key", "start", "n")
+    return whole.union(partly.select("doc_id", "text_key", "start", F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
