@@ -5,10 +5,11 @@ least and its greatest image, so a signature of 2p values costs p hash
 evaluations; both collide with probability equal to the Jaccard similarity.
 Bands of `rows` values (half minima, half maxima) are join keys.
 
-Documents with equal sets are one class, of which the smallest id stands for
-all. Members of a bucket are not paired with each other: each is compared with
-the bucket's centre (its member that shares most buckets with others) on full
-sets. Those linked to the centre are connected through it. A member x that
+Documents with equal sets are one class, of which one text stands for all.
+Members of a bucket are not paired with each other: each is compared with the
+bucket's centre (its member that shares most buckets with others) on full sets.
+The members of a centre are dealt to several tasks, each of which gets the
+centre's text once. Those linked to the centre are connected through it. A member x that
 isn't could still be linked to another one, y; as both were compared with the
 centre, the size of their symmetric difference follows from their differences
 to the centre, |x-y| = |Dx| + |Dy| - 2 |Dx and Dy|. So the unlinked members are
@@ -24,12 +25,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
 from minewright.llm.embedding_dedup import forest
 from minewright.operators.components import connected_components
+from minewright.operators.skew import join_counted
 from minewright.runtime import discard, materialize, ship_package
 
 WORDS = 5
@@ -37,8 +39,13 @@ PERCENT = 80
 BANDS = 32
 ROWS = 4
 SEED = 20240229
-#: Documents on either side of a block.
+#: Documents on either side of a block, and values of their differences.
 TILE = 1024
+TILE_VALUES = 1 << 20
+#: Members that a task compares with one copy of their centre.
+RUN = 512
+#: Rows to drop, of 16 bytes, up to which they are broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def _sets(w: tc.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,51 +96,77 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(size.astype(np.int64)),
                 pa.array(sums[0].view(np.int64)),
                 pa.array(sums[1].view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.reshape(-1).view(np.int64))),
             ],
-            ["doc_id", "n_shingles", "s1", "s2", "bands"],
+            ["doc_id", "text_key", "n_shingles", "s1", "s2", "bands"],
         )
 
 
+def _differences(member: np.ndarray, cuts: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the intersections of some sets with that of their centre, and the symmetric differences with their cuts."""
+    n = len(cuts) - 1
+    owner = np.repeat(np.arange(n), np.diff(cuts))
+    at = np.minimum(np.searchsorted(centre, member), len(centre) - 1)
+    there = centre[at] == member
+    missing = np.ones((n, len(centre)), bool)
+    missing[owner[there], at[there]] = False
+    row, column = np.nonzero(missing)
+    doc, gram = np.concatenate([owner[~there], row]), np.concatenate([member[~there], centre[column]])
+    order = np.argsort(doc, kind="stable")
+    return np.bincount(owner[there], minlength=n), gram[order], np.searchsorted(doc[order], np.arange(n + 1))
+
+
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Sizes of intersection and union of the sets of a and its centre b, and their symmetric difference."""
-    for batch in tc.chunks(batches, "text_a", "text_b"):
-        one, at1 = _sets(tc.words(batch.column("text_a"), lower=True), k)
-        two, at2 = _sets(tc.words(batch.column("text_b"), lower=True), k)
-        n = batch.num_rows
-        doc = np.concatenate([np.repeat(np.arange(n), np.diff(at1)), np.repeat(np.arange(n), np.diff(at2))])
-        gram = np.concatenate([one, two])
-        order = np.lexsort((gram, doc))
-        doc, gram = doc[order], gram[order]
-        same = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1])
-        common = np.bincount(doc[1:][same], minlength=n)
-        union = np.diff(at1) + np.diff(at2) - common
-        alone = np.ones(len(doc), bool)
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        cuts = np.searchsorted(doc[alone], np.arange(n + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("a"),
-                batch.column("b"),
-                pa.array(np.diff(at1).astype(np.int64)),
-                pa.array(common.astype(np.int64)),
-                pa.array(union.astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram[alone].view(np.int64))),
-            ],
-            ["a", "b", "size", "common", "total", "delta"],
-        )
+    """Sizes of intersection and union of the sets of a and its centre b, and their symmetric difference.
 
+    Rows come sorted by (b, part, member, a), so that a part's first row is its centre.
+    """
+    key, centre, last = None, np.empty(0, np.uint64), None
+    for batch in tc.chunks(batches):
+        gram, cuts = _sets(tc.words(batch.column("text"), lower=True), k)
+        a, b, part, member = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "part", "member"))
+        lo = 0
+        while lo < len(a):
+            if (b[lo], part[lo]) != key:
+                key, last, centre = (b[lo], part[lo]), None, gram[cuts[lo] : cuts[lo + 1]]
+            if not member[lo] or a[lo] == last:  # the centre, or another row with the same text
+                lo += 1
+                continue
+            hi = lo + 1
+            room = max(1, (8 << 20) // max(1, len(centre)))
+            while hi < len(a) and hi - lo < room and (b[hi], part[hi]) == key and a[hi] != a[hi - 1]:
+                hi += 1
+            last = a[hi - 1]
+            size = np.diff(cuts[lo : hi + 1])
+            common, delta, at = _differences(gram[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], centre)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a[lo:hi]),
+                    pa.array(b[lo:hi]),
+                    pa.array(size.astype(np.int64)),
+                    pa.array(common.astype(np.int64)),
+                    pa.array((size + len(centre) - common).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(delta.view(np.int64))),
+                ],
+                ["a", "b", "size", "common", "total", "delta"],
+            )
+            lo = hi
 
-def _measure(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        partial(_compare, k=k), "a long, b long, size long, common long, total long, delta array<long>"
-    )
+
+def _measure(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Each pair of classes (a, b) compared on full sets; each text is shuffled once for its pairs, and a centre's once for each part of its members."""
+    total = pairs.count()
+    centres = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / RUN)), "mm-parts")
+    dealt = join_counted(pairs, centres, ["b"], total).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(True).alias("member"))
+    heads = centres.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
+    named = dealt.unionByName(heads).join(classes.select(F.col("cls").alias("a"), "id", "text_key"), "a")
+    rows = docs.join(named, ["id", "text_key"]).select("a", "b", "part", "member", "text")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "member", "a")
+    return rows.mapInArrow(partial(_compare, k=k), "a long, b long, size long, common long, total long, delta array<long>")
 
 
 def _links(rows: pa.Table, percent: int) -> pa.Table | None:
@@ -200,10 +233,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def _beyond_stars(star: DataFrame, linked: str, percent: int) -> DataFrame:
     """Links (src, dst) of members that aren't linked to their centre b, among all with that centre."""
-    sizes = star.groupBy("b").agg(F.count(F.lit(1)).alias("all"), F.sum(F.expr(f"int(not ({linked}))")).alias("open"))
-    sizes = materialize(sizes.where("open > 0 and all > 1"), "mm-families")
-    rows = star.select("a", "b", "size", "delta", F.expr(f"not ({linked})").alias("unlinked")).join(sizes, "b")
-    tiles = rows.withColumn("across", F.ceil(F.col("all") / TILE).cast("int")).withColumn("down", F.ceil(F.col("open") / TILE).cast("int"))
+    open_ = F.expr(f"int(not ({linked}))")
+    long = F.size("delta").cast("long")
+    sizes = star.groupBy("b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(open_).alias("open"), F.sum(long).alias("values"), F.sum(open_ * long).alias("open_values")
+    )
+    sizes = sizes.where("open > 0 and n > 1").select(
+        "b",
+        "n",
+        F.ceil(F.greatest(F.col("n") / TILE, F.col("values") / TILE_VALUES)).cast("int").alias("across"),
+        F.ceil(F.greatest(F.col("open") / TILE, F.col("open_values") / TILE_VALUES)).cast("int").alias("down"),
+    )
+    sizes = materialize(sizes, "mm-families")
+    rows = star.select("a", "b", "size", "delta", F.expr(f"not ({linked})").alias("unlinked"))
+    tiles = join_counted(rows, sizes, ["b"], star.count())
     spot = F.xxhash64("a")
     seeking = tiles.where("unlinked").select(
         "a", "b", "size", "delta", F.lit(True).alias("seek"), F.pmod(spot, F.col("down")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("right")
@@ -215,6 +258,37 @@ def _beyond_stars(star: DataFrame, linked: str, percent: int) -> DataFrame:
     return dealt.mapInArrow(partial(_blocks, percent=percent), "src long, dst long")
 
 
+def _linked_classes(usable: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets of usable rows, and the links (src, dst) between classes.
+
+    A class has a number cls, its set's key (s1, s2, n_shingles), the least id
+    in it with the text_key of such a row, and its number of rows n.
+    """
+    classes = usable.groupBy("s1", "s2", "n_shingles").agg(
+        F.min("id").alias("id"), F.min_by("text_key", "id").alias("text_key"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")
+    )
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "mm-classes")
+    keyed = materialize(classes.select("cls", F.explode("bands").alias("bucket")), "mm-keyed")
+    crowd = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mm-crowd")
+    shared = materialize(join_counted(keyed, crowd, ["bucket"], keyed.count()), "mm-buckets")
+    discard(keyed)
+    mass = shared.groupBy("cls").agg(F.sum("n").alias("mass"))
+    placed = materialize(shared.join(mass, "cls").select("bucket", "n", "cls", F.struct("mass", -F.col("cls")).alias("rank")), "mm-placed")
+    discard(shared)
+    centre = placed.groupBy("bucket").agg(F.max("rank").alias("top"), F.first("n").alias("n"))
+    centre = materialize(centre.select("bucket", (-F.col("top").getField("col2")).alias("centre"), "n"), "mm-centres")
+    pairs = join_counted(placed.select("bucket", "cls"), centre, ["bucket"], placed.count())
+    pairs = materialize(pairs.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct(), "mm-pairs")
+    discard(placed, centre, crowd)
+    star = materialize(_measure(pairs, classes, docs, words), "mm-star")
+    discard(pairs)
+    linked = f"100 * common >= {percent} * total"
+    links = star.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")).union(_beyond_stars(star, linked, percent))
+    links = materialize(links, "mm-links")
+    discard(star)
+    return classes, links
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose sets of `words`-word shingles are alike.
 
@@ -233,38 +307,70 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     1 - (1 - s**rows)**bands: at 0.8, all but 5e-8 of them.
     """
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(
-        docs.mapInArrow(
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key"))
+    signed = _signed(docs, words, bands, rows)
+    usable = signed.where("n_shingles > 0 and doc_id is not null").withColumn("id", F.col("doc_id"))
+    classes, links = _linked_classes(usable, docs, words, percent)
+    set_key = ["s1", "s2", "n_shingles"]
+    total = signed.count()
+    member = materialize(join_counted(usable.select("id", *set_key), classes.select(*set_key, "n", "cls"), set_key, total).select("id", "cls").distinct(), "mm-members")
+    # An id whose rows are in several classes links them.
+    several = member.groupBy("id").agg(F.min("cls").alias("src"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = member.join(several, "id").where("cls <> src").select("src", F.col("cls").alias("dst"))
+    label = _components(classes, links.union(shared), F.min("id").alias("component"))
+    named = materialize(classes.select(*set_key, "n", "cls").join(label, "cls").drop("cls"), "mm-named")
+    discard(member, links, classes)
+    found = join_counted(signed.select("doc_id", *set_key), named, set_key, total, how="left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    return materialize(
+        docs.select("doc_id", "text", "text_key").mapInArrow(
             partial(_signatures, k=words, bands=bands, rows=rows),
-            "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>",
+            "doc_id long, text_key long, n_shingles long, s1 long, s2 long, bands array<long>",
         ),
         "mm-signed",
     )
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "mm-classes")
-    member = usable.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"])
-    copies = materialize(member.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "mm-copies")
-    reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", F.col("n_shingles").alias("size"))
-    keyed = usable.join(reps, ["doc_id", "s1", "s2"]).select("doc_id", "size", F.explode("bands").alias("bucket"))
-    keyed = materialize(keyed, "mm-keyed")
-    crowd = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mm-crowd")
-    shared = materialize(keyed.join(crowd, "bucket"), "mm-buckets")
-    discard(keyed)
-    mass = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("mass")), "mm-mass")
-    texts = materialize(docs.join(mass.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "mm-texts")
-    rank = F.struct(F.col("mass"), -F.col("doc_id"))
-    placed = materialize(shared.join(mass, "doc_id").select("bucket", "doc_id", rank.alias("rank")), "mm-placed")
-    centre = placed.groupBy("bucket").agg(F.max("rank").alias("top"))
-    centre = materialize(centre.select("bucket", (-F.col("top").getField("col2")).alias("centre")), "mm-centres")
-    pairs = placed.join(centre, "bucket").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    star = materialize(_measure(pairs, texts, words), "mm-star")
-    discard(shared, placed, texts)
-    linked = f"100 * common >= {percent} * total"
-    near = star.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    more = materialize(_beyond_stars(star, linked, percent), "mm-more")
-    edges = copies.union(near).union(more)
-    label = connected_components(edges)
-    out = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(classes: DataFrame, links: DataFrame, what: Column) -> DataFrame:
+    """(cls, ...): the aggregate `what` over all classes that are linked with each class."""
+    label = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    rooted = classes.select("cls", "id", "text_key").join(label, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = materialize(rooted, "mm-rooted")
+    whole = materialize(rooted.groupBy("root").agg(what, F.count(F.lit(1)).alias("n")), "mm-components")
+    return join_counted(rooted.select("cls", "root"), whole, ["root"], rooted.count()).drop("root", "n")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each group of rows that near_duplicates would link, and all others; all columns.
+
+    Every row is a document of its own, whether it shares its id or has none.
+    The least id of a group stays, null last; of rows that share it, the one
+    whose text has the least hash, and of equal rows one. Null, empty and
+    blank texts all stay. An empty table gives no rows.
+    """
+    ship_package(docs.sparkSession)
+    given = docs.columns
+    docs = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__key": F.xxhash64("text")})
+    plain = docs.select(F.col("__id").alias("doc_id"), F.col("__id").alias("id"), "text", F.col("__key").alias("text_key"))
+    signed = _signed(plain, words, bands, rows)
+    usable = signed.where("n_shingles > 0").withColumn("id", F.col("doc_id"))
+    classes, links = _linked_classes(usable, plain, words, percent)
+    # In a class, the row that stays if the class's does: its least id, and then its least text_key.
+    set_key = ["s1", "s2", "n_shingles"]
+    first = _components(classes, links, F.min(F.struct("id", "text_key")).alias("first"))
+    named = materialize(classes.select(*set_key, "n", "cls").join(first, "cls").drop("cls"), "mm-named")
+    discard(links, classes)
+    mine = join_counted(usable.select("id", "text_key", *set_key), named, set_key, signed.count())
+    verdict = mine.groupBy("id", "text_key").agg(F.first(F.struct("id", "text_key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("k")).where("not stays or k > 1")
+    verdict = materialize(verdict.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "stays"), "mm-verdict")
+    # Rows to drop, and (stays) those of which one is to stay; the texts are shuffled only where these are too many to broadcast.
+    small = verdict.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df
+    kept = docs.join(sent(verdict), ["__id", "__key"], "left_anti")
+    if verdict.where("stays").limit(1).count():
+        kept = kept.unionByName(docs.join(sent(verdict.where("stays")), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]))
+    return kept.select(given)
