@@ -24,10 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike in five-word shingles."""
-    groups = minhash_dedup.near_duplicates(docs, words=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group that is alike in five-word shingles.
+
+    Every row is a document, so of equal rows that share an id one stays.
+    """
+    return minhash_dedup.drop_near_duplicates(docs.select(COLUMNS), words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """The pieces of all documents in sequences of 4096 tokens, with their ids."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
