@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minewright.llm import textcodes as tc
-from minewright.runtime import materialize, ship_package
+from minewright.runtime import discard, materialize, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -36,6 +36,8 @@ WINDOW = 6
 PRIOR = 0.5
 THRESHOLD = 0.8
 REMOVE = 0.95
+#: One document in so many gives the first, lower bound of a term's frequency.
+PART = 8
 #: (entity, term) pairs, or terms, up to which a set is broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -161,30 +163,46 @@ def _frequency(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> I
 
 
 def disclosures(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(entity, term, share): terms that disclose an entity, and how much of its information."""
-    spark = docs.sparkSession
+    """(entity, term, share): terms that disclose an entity, and how much of its information.
+
+    A share falls as the term's frequency grows. So frequencies are counted in
+    two steps: what one document in PART has bounds a term's frequency from
+    below, and pairs whose share is too low even so (those of common words) are
+    settled. Only the terms of the others are counted in all documents.
+    """
     seen = docs.select("text").mapInArrow(partial(_contexts, window=window), "entity long, term long, n long")
     pairs = materialize(seen.groupBy("entity", "term").agg(F.sum("n").alias("n")), "pii-pairs")
     entities = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
     both = materialize(pairs.where("term <> 0").join(entities, "entity"), "pii-both")
-    terms = both.select("term").distinct()
+    n = max(1, docs.count())
+    information = F.log(F.lit(float(n)) / F.col("n_entity"))
+    base = F.col("n_entity") / float(n)
+    df = F.coalesce("df", F.lit(0))
+    pmi = F.log((F.col("n") + prior * base) / (F.greatest(df, "n") + prior) / base)
+    share = F.when(information > 0, pmi / information).otherwise(0.0)
+    for texts in (docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), docs):
+        counted = _frequencies(texts.select("text"), both.select("term").distinct(), broadcast_rows)
+        then = both.join(counted, "term", "left").withColumn("share", share).where(f"share >= {threshold}")
+        then = materialize(then.select("entity", "term", "n", "n_entity", "share"), "pii-both")
+        discard(both)
+        both = then.drop("share")
+    return then.select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
+
+
+def _frequencies(texts: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(term, df): in how many of the texts each of the given terms stands; terms that are in none may be absent."""
+    spark = texts.sparkSession
     wanted = None
     if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
         got = terms.toArrow().column("term").combine_chunks()
         keys = np.sort(np.ascontiguousarray(got.to_numpy()).view(np.uint64))
         if not len(keys):
-            return both.select("entity", "term", F.lit(0.0).alias("share"))
+            return spark.createDataFrame([], "term long, df long")
         wanted = spark.sparkContext.broadcast(keys)
-    counts = docs.select("text").mapInArrow(partial(_frequency, wanted=wanted), "term long, df long")
+    counts = texts.mapInArrow(partial(_frequency, wanted=wanted), "term long, df long")
     if wanted is None:
         counts = counts.join(terms, "term", "left_semi")
-    df = counts.groupBy("term").agg(F.sum("df").alias("df"))
-    n = max(1, docs.count())
-    information = F.log(F.lit(float(n)) / F.col("n_entity"))
-    base = F.col("n_entity") / float(n)
-    pmi = F.log((F.col("n") + prior * base) / (F.greatest("df", "n") + prior) / base)
-    scored = both.join(df, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
-    return scored.where(f"share >= {threshold}").select("entity", "term", F.least("share", F.lit(1.0)).alias("share"))
+    return counts.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 class Disclosed:

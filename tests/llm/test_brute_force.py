@@ -310,3 +310,35 @@ def test_classifiers(spark, score, label):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in score(odd, labels.where("false")).collect()} <= {0.0, 0.5}
     assert score(docs.where("false"), labels).count() == 0
+
+
+def test_disclosures_equal_their_formula_on_a_table(spark):
+    """Every pair of the table, counted and scored in plain Python."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    with_entity, with_pair, with_term, n = {}, {}, {}, 0
+    for text in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text:
+        text, n = text or "", n + 1
+        for t in set(word.findall(lower(text))):
+            with_term[t] = with_term.get(t, 0) + 1
+        spans = pii.find(text)
+        words = [(m.start(), m[0]) for m in word.finditer(lower(pii._masked(text, spans)))]
+        found = set()
+        for s in spans:
+            e, at = pii.entity(text, s), sum(i < s[0] for i, _ in words)
+            found.add((e, None))
+            found |= {(e, t) for _, t in words[max(0, at - 6) : at + 6]}
+        for e, t in found:
+            counts = with_entity if t is None else with_pair
+            key = e if t is None else (e, t)
+            counts[key] = counts.get(key, 0) + 1
+    want = {}
+    for (e, t), k in with_pair.items():
+        base = with_entity[e] / n
+        value = math.log((k + 0.5 * base) / (max(with_term.get(t, 0), k) + 0.5) / base) / -math.log(base)
+        if value >= 0.8:
+            code = int(tc.words(pa.array([t])).hashes.view(np.int64)[0])
+            want[e, code] = min(value, 1.0)
+    for rows in (500_000, 0):
+        got = {(r.entity, r.term): r.share for r in pii.disclosures(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), broadcast_rows=rows).collect()}
+        assert got.keys() == want.keys() and len(want) > 50
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
