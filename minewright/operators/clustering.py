@@ -170,6 +170,13 @@ def purity(df: DataFrame, true: str = "true", label: str = "label") -> DataFrame
     return most.join(cells.agg(F.sum("n").alias("n"))).select((F.col("m") / F.col("n")).alias("purity"))
 
 
+def entropy(df: DataFrame, label: str = "label") -> DataFrame:
+    """(entropy) of the labels' shares, in nats; null without rows."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # -sum(p ln p) with p = n / N is ln N - sum(n ln n) / N.
+    return sizes.agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"))
+
+
 def nmi(df: DataFrame, true: str = "true", label: str = "label") -> DataFrame:
     """(nmi) = 2 MI / (H(true) + H(label)) over the rows that aren't noise; 0 where both entropies are."""
     cells = df.where(F.col(label) >= 0).groupBy(F.col(true).alias("t"), F.col(label).alias("l")).agg(F.count(F.lit(1)).cast("double").alias("n"))

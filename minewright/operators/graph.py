@@ -249,3 +249,15 @@ def louvain(edges: DataFrame, max_levels: int = 10, tol: float = 1e-6, rounds: i
         ends = weights.join(part.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(part.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
         weights = materialize(ends.groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")), "lv")
     return whole, best
+
+
+def giant_component(components: DataFrame) -> DataFrame:
+    """(size, share): the nodes of the largest component of (node, component), and their percentage of all."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("size"), (100.0 * F.max("n") / F.sum("n")).alias("share"))
+
+
+def top_nodes(scores: DataFrame, names: DataFrame, k: int = 10, default: str = "unknown") -> DataFrame:
+    """(node, score, name) of the k highest scores (node, score), ties by node; nodes that names (node, name) lacks are `default`."""
+    top = scores.orderBy(F.desc("score"), "node").limit(k)
+    return top.join(names, "node", "left").select("node", "score", F.coalesce("name", F.lit(default)).alias("name"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from minewright.functions import features
 from minewright.operators import clustering as clu
 from minewright.operators.decomposition import Pca, Svd, covariance
 from minewright.operators.vectors import stack
 from minewright.plans.exploration import rounded
 from minewright.plans.registry import query
 from minewright.runtime import table
+from minewright.sources.datasets import ITEMS_SQL, REVIEWS_SQL, items, reviews
 
 POINTS = "points AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 LONG = POINTS + ", long AS MATERIALIZED (SELECT id, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM points)"
@@ -109,3 +111,19 @@ def pca(spark: SparkSession, sf: str) -> DataFrame:
 @query("dim7_svd_errors")
 def svd_errors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(Svd().fit(points(spark, sf)).errors([1, 2, 4, 8, 16, 32, 64]), "k int, error double")
+
+
+@query("met3_entropy", "SELECT round(-sum(p * ln(p)), 8) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label)")
+def label_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clu.entropy(points(spark, sf)), "entropy", digits=8)
+
+
+@query("fea1_feature_matrix", f"""WITH {REVIEWS_SQL}, {ITEMS_SQL}, top AS MATERIALIZED (SELECT item_id, avg(stars) AS stars, count(*) AS n, any_value(categories) AS categories FROM reviews JOIN items USING (item_id) GROUP BY item_id ORDER BY n DESC, item_id LIMIT 1500),
+own AS MATERIALIZED (SELECT DISTINCT item_id, trim(name) AS name FROM (SELECT item_id, unnest(string_split(categories, ',')) AS name FROM top) WHERE trim(name) <> ''),
+names AS (SELECT name, 1 + row_number() OVER (ORDER BY count(*) DESC, name) AS i FROM own GROUP BY name QUALIFY i <= 21)
+SELECT item_id AS id, CAST(i AS INTEGER) AS i, round(x, 8) AS x, CAST(floor(stars) - 1 AS INTEGER) AS label FROM top JOIN (
+  SELECT item_id, 0 AS i, stars AS x FROM top UNION ALL SELECT item_id, 1, ln(1 + n) FROM top
+  UNION ALL SELECT t.item_id, i, CASE WHEN o.name IS NULL THEN 0 ELSE 1 END FROM top t CROSS JOIN names LEFT JOIN own o ON o.item_id = t.item_id AND o.name = names.name) USING (item_id)""")
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    rows = features.feature_matrix(items(spark, sf), reviews(spark, sf))
+    return rounded(rows.select("id", "label", F.posexplode("v").alias("i", "x")), "x", digits=8)

@@ -179,3 +179,19 @@ def pagerank_directed_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("gra12_hits_all_reviews")
 def hits_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.hits(edges(spark, sf), directed=True), "hub", "authority", digits=8)
+
+
+@query("gra7_giant_component", f"""WITH {USEFUL_EDGES_SQL}, {LINKS_SQL},
+{unrolled("SELECT node, node AS c FROM nodes", "SELECT p.node, least(min(p.c), min(q.c)) AS c FROM {prev} p JOIN links ON src = p.node JOIN {prev} q ON q.node = dst GROUP BY p.node", 60, "l")}
+SELECT max(n) AS size, round(100.0 * max(n) / sum(n), 8) AS share FROM (SELECT c, count(*) AS n FROM l60 GROUP BY c)""")
+def giant_component(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.giant_component(connected_components(useful_five_star(spark, sf))), "share", digits=8)
+
+
+@query("top1_items", f"""WITH {EDGES_SQL}, d AS (SELECT dst AS node, count(*) AS score FROM edges GROUP BY 1 ORDER BY score DESC, node LIMIT 10)
+SELECT node, score, coalesce(p_name, 'unknown') AS name FROM d LEFT JOIN part ON node = 'P_' || p_partkey AND p_partkey % 2 = 0""")
+def top_items(spark: SparkSession, sf: str) -> DataFrame:
+    scores = five_star(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("score"))
+    # Names are known for half of the items, so that the default is met.
+    parts = table(spark, sf, "part").where("p_partkey % 2 = 0")
+    return graph.top_nodes(scores, parts.select(F.concat(F.lit("P_"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_name").alias("name")))

@@ -14,6 +14,7 @@ from minewright.operators.decomposition import Svd
 from minewright.plans import registry
 from minewright.sources import jsonl
 from minewright.sources.datasets import ratings
+from minewright.functions import features
 from minewright.streaming import dgim, sketches, windows
 
 
@@ -247,3 +248,11 @@ def test_all_users_are_served(spark, name):
     users = {r[0] for r in ratings(spark, folder).select("user_id").distinct().collect()}
     rows = registry.QUERIES[f"{name}_all_users"](spark, folder).groupBy("user_id").count().collect()
     assert {r.user_id for r in rows} == users and all(r["count"] == 5 for r in rows) and len(users) > 100
+
+
+def test_features_align_by_id(spark):
+    one = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, v array<double>")
+    two = spark.createDataFrame([(2, [5.0, 6.0]), (9, [0.5, 0.5])], "id int, v array<double>")
+    assert {r.id: r.v for r in features.concatenate(one, two, 2).collect()} == {1: [1.0, 0.0, 0.0], 2: [2.0, 5.0, 6.0]}
+    said = spark.sql("SELECT map('a', 'True', 'b', 'False', 'c', 'free', 'd', null) AS m")
+    assert sorted(said.select(features.attribute_tokens(said.m).alias("t")).first().t) == ["a", "c_free"]
