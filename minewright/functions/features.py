@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minewright.operators.eda import split_categories
@@ -37,3 +37,24 @@ def attribute_tokens(attributes: Column) -> Column:
     """Tokens of a map of attributes: the key where the value is "True", key_value for other texts but "False"."""
     kept = F.filter(F.map_entries(attributes), lambda e: e["value"].isNotNull() & (e["value"] != "False"))
     return F.transform(kept, lambda e: F.when(e["value"] == "True", e["key"]).otherwise(F.concat_ws("_", e["key"], e["value"])))
+
+
+def cluster_means(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, i, mean): the mean of each dimension of points (id, v) over the members of each cluster (id, label)."""
+    long = points.select("id", "v").join(labels.select("id", "label"), "id").select("label", F.posexplode("v").alias("i", "x"))
+    return long.groupBy("label", "i").agg(F.avg("x").alias("mean"))
+
+
+def cluster_profile(items: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
+    """(label, size, stars, reviews, rank, category, n, share) of each cluster, noise (-1) included.
+
+    items has (id, stars, reviews, categories), labels (id, label). stars and
+    reviews are means; a row for each of the k most frequent categories, ties
+    by name, with its count over the size; one row without a category where a
+    cluster has none.
+    """
+    members = items.join(labels.select("id", "label"), "id")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.avg("stars").alias("stars"), F.avg("reviews").alias("reviews"))
+    named = members.select("label", F.explode(split_categories("categories")).alias("category")).groupBy("label", "category").agg(F.count(F.lit(1)).alias("n"))
+    top = named.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "category"))).where(F.col("rank") <= k)
+    return sizes.join(top, "label", "left").select("label", "size", "stars", "reviews", "rank", "category", "n", (F.col("n") / F.col("size")).alias("share"))

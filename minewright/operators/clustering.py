@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,6 +96,22 @@ def kmeans(df: DataFrame, k: int, max_iter: int = 100, tol: float = 1e-4, n_init
     return best[0], assign_nearest(df, best[0]), best[1]
 
 
+def elbow(df: DataFrame, sizes: Iterable[int], **settings: int) -> DataFrame:
+    """(k, inertia) of k-means for each number of clusters."""
+    return df.sparkSession.createDataFrame([(k, float(kmeans(df, k, **settings)[2])) for k in sizes], "k int, inertia double")
+
+
+def silhouette_by_k(df: DataFrame, sizes: Iterable[int], methods: dict[str, Callable[[DataFrame, int], DataFrame]]) -> DataFrame:
+    """(method, k, silhouette, best) of each method, a function of (df, k) that gives (id, label); the best k is the smallest of the greatest silhouette."""
+    rows = []
+    for method, label in methods.items():
+        scores = [(method, k, silhouette(df.select("id", "v").join(label(df, k), "id")).first()[0]) for k in sizes]
+        known = [s for _, _, s in scores if s is not None]
+        top = next((k for _, k, s in scores if known and s == max(known)), None)
+        rows += [(*row, row[1] == top) for row in scores]
+    return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, best boolean")
+
+
 def eps_links(df: DataFrame, eps: float) -> DataFrame:
     """(a, b) of all ordered pairs within eps, each point with itself included; exact, in blocks."""
     ship_package(df.sparkSession)

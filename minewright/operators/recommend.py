@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from minewright.operators.eda import split_categories
 from minewright.operators.sampling import lot
+from minewright.runtime import materialize
 
 DIGITS = 8
 
@@ -44,6 +45,18 @@ def popularity_topk(ratings: DataFrame, k: int = 5) -> DataFrame:
     return left.select("user_id", (F.col("pos") + 1).alias("rank"), "item_id")
 
 
+def popularity_rating(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """pairs with a prediction: the item's mean, or 3."""
+    means = ratings.groupBy("item_id").agg(F.avg("stars").alias("mean"))
+    return pairs.join(means, "item_id", "left").select("user_id", "item_id", F.coalesce("mean", F.lit(3.0)).alias("prediction"))
+
+
+def random_rating(pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """pairs with a prediction, uniform in 1..5 by their lots."""
+    place = F.conv(F.substring(lot(F.concat_ws("_", "user_id", "item_id"), seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return pairs.select("user_id", "item_id", (1 + 4 * place).alias("prediction"))
+
+
 def neighbours(ratings: DataFrame, by: str = "user_id", across: str = "item_id", metric: str = "cosine", k: int | None = 10) -> DataFrame:
     """(a, b, sim): the k most similar others of each user (or item), with a positive similarity.
 
@@ -139,11 +152,16 @@ def hybrid_scores(cf: DataFrame, content: DataFrame, users: DataFrame, items: Da
     return both.select("user_id", "item_id", score.alias("score"))
 
 
+def content_rating(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """pairs with a prediction 1..5: 3 + 2 cos, 3 where the profile and the item share nothing."""
+    both = pairs.join(content, ["user_id", "item_id"], "left")
+    return both.select("user_id", "item_id", F.greatest(F.lit(1.0), F.least(F.lit(5.0), 3 + 2 * F.coalesce("score", F.lit(0.0)))).alias("prediction"))
+
+
 def hybrid_rating(pairs: DataFrame, cf: DataFrame, content: DataFrame, cf_weight: float = 0.5, content_weight: float = 0.5) -> DataFrame:
-    """pairs with a prediction 1..5: weighted where CF has a positive score, the content rating (3 + 2 cos) otherwise."""
-    both = pairs.join(cf.withColumnRenamed("score", "c"), ["user_id", "item_id"], "left").join(content.withColumnRenamed("score", "t"), ["user_id", "item_id"], "left")
-    text = F.greatest(F.lit(1.0), F.least(F.lit(5.0), 3 + 2 * F.coalesce("t", F.lit(0.0))))
-    mixed = F.when(F.col("c") > 0, cf_weight * F.col("c") + content_weight * text).otherwise(text)
+    """pairs with a prediction 1..5: weighted where CF has a positive score, the content rating otherwise."""
+    both = content_rating(pairs, content).withColumnRenamed("prediction", "text").join(cf.withColumnRenamed("score", "c"), ["user_id", "item_id"], "left")
+    mixed = F.when(F.col("c") > 0, cf_weight * F.col("c") + content_weight * F.col("text")).otherwise(F.col("text"))
     return both.select("user_id", "item_id", F.greatest(F.lit(1.0), F.least(F.lit(5.0), mixed)).alias("prediction"))
 
 
@@ -197,3 +215,41 @@ def diversity(predicted: DataFrame, vectors: DataFrame) -> DataFrame:
     out = sizes.join(own, "user_id", "left").join(total, "user_id", "left").na.fill(0.0, ["units", "square"])
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return out.select("user_id", F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.col("square") - F.col("units")) / 2 / pairs).alias("diversity"))
+
+
+def errors_by_user(actual: DataFrame, guessed: DataFrame) -> DataFrame:
+    """(user_id, rmse, mae) of guessed (user_id, item_id, prediction) against actual (user_id, item_id, stars)."""
+    gap = F.col("stars") - F.col("prediction")
+    return actual.join(guessed, ["user_id", "item_id"]).groupBy("user_id").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"))
+
+
+MEASURES = ["precision", "recall", "ndcg", "rmse", "mae", "novelty", "diversity"]
+
+
+def evaluate(hidden: DataFrame, ratings: DataFrame, items: DataFrame, k: int = 30, k_nn: int = 20, cf_weight: float = 0.85, content_weight: float = 0.15, seed: int = 42) -> DataFrame:
+    """(model, users, and each of MEASURES): means over the users of hidden for hybrid, popularity and random lists.
+
+    Models learn from ratings without hidden, which must be a bounded set of
+    users (the hybrid and random models score all items for each); novelty
+    counts all ratings. Errors are taken per user first.
+    """
+    vectors = materialize(tfidf(items), "eval-vectors")
+    hidden = materialize(hidden.select("user_id", "item_id", "stars"), "eval-hidden")
+    pairs, users = hidden.select("user_id", "item_id"), hidden.select("user_id").distinct()
+    train = materialize(ratings.join(pairs, ["user_id", "item_id"], "left_anti"), "eval-train")
+    own = lambda df: df.join(F.broadcast(users), "user_id", "left_semi")
+    cf = materialize(own(user_scores(train, k_nn)), "eval-cf")
+    content = materialize(content_scores(user_profile(own(train), vectors, centred=True), vectors), "eval-content")
+    models = {
+        "hybrid": (unseen_topk(hybrid_scores(cf, content, users, items, cf_weight, content_weight), train, k), hybrid_rating(pairs, cf, content, cf_weight, content_weight)),
+        "popularity": (own(popularity_topk(train, k)), popularity_rating(pairs, train)),
+        "random": (random_topk(train, users, k, seed), random_rating(pairs, seed)),
+    }
+    out = None
+    for model, (lists, guessed) in models.items():
+        lists = materialize(lists.select("user_id", "item_id", "rank"), "eval-lists")
+        each = rank_metrics(hidden, lists, k).join(errors_by_user(hidden, guessed), "user_id", "left")
+        each = each.join(novelty(lists, ratings), "user_id", "left").join(diversity(lists, vectors), "user_id", "left")
+        row = each.na.fill(0.0, MEASURES).agg(F.count(F.lit(1)).alias("users"), *[F.avg(m).alias(m) for m in MEASURES]).select(F.lit(model).alias("model"), "*")
+        out = row if out is None else out.union(row)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minewright.functions import features
-from minewright.operators import clustering as clu
+from minewright.operators import bfr, clustering as clu
 from minewright.operators.decomposition import Pca, Svd, covariance
 from minewright.operators.vectors import stack
 from minewright.plans.exploration import rounded
@@ -127,3 +127,55 @@ SELECT item_id AS id, CAST(i AS INTEGER) AS i, round(x, 8) AS x, CAST(floor(star
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.feature_matrix(items(spark, sf), reviews(spark, sf))
     return rounded(rows.select("id", "label", F.posexplode("v").alias("i", "x")), "x", digits=8)
+
+
+TOP_ITEMS = f"""{REVIEWS_SQL}, {ITEMS_SQL}, top AS MATERIALIZED (SELECT item_id, avg(stars) AS stars, count(*) AS n, any_value(categories) AS categories, CAST(floor(avg(stars)) - 1 AS INTEGER) AS label
+  FROM reviews JOIN items USING (item_id) GROUP BY item_id ORDER BY n DESC, item_id LIMIT 1500),
+cats AS MATERIALIZED (SELECT item_id, label, trim(name) AS category FROM (SELECT item_id, label, unnest(string_split(categories, ',')) AS name FROM top) WHERE trim(name) <> '')"""
+
+
+@query("eda14_cluster_means", f"""WITH {TOP_ITEMS}, own AS MATERIALIZED (SELECT DISTINCT item_id, category FROM cats), names AS (SELECT category, 1 + row_number() OVER (ORDER BY count(*) DESC, category) AS i FROM own GROUP BY category QUALIFY i <= 21)
+SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 8) AS mean FROM (
+  SELECT label, 0 AS i, stars AS x FROM top UNION ALL SELECT label, 1, ln(1 + n) FROM top
+  UNION ALL SELECT t.label, i, CASE WHEN o.category IS NULL THEN 0 ELSE 1 END FROM top t CROSS JOIN names LEFT JOIN own o ON o.item_id = t.item_id AND o.category = names.category) GROUP BY ALL""")
+def cluster_means(spark: SparkSession, sf: str) -> DataFrame:
+    rows = features.feature_matrix(items(spark, sf), reviews(spark, sf))
+    return rounded(features.cluster_means(rows, rows), "mean", digits=8)
+
+
+@query("eda15_cluster_profile", f"""WITH {TOP_ITEMS}, s AS (SELECT label, count(*) AS size, avg(stars) AS stars, avg(n) AS reviews FROM top GROUP BY 1)
+SELECT label, size, round(stars, 8) AS stars, round(reviews, 8) AS reviews, CAST(row_number() OVER (PARTITION BY label ORDER BY m DESC, category) AS INTEGER) AS rank, category, m AS n, round(m / size, 8) AS share
+FROM s JOIN (SELECT label, category, count(*) AS m FROM cats GROUP BY ALL) USING (label) QUALIFY rank <= 3""")
+def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
+    rated = reviews(spark, sf).groupBy("item_id").agg(F.avg("stars").alias("stars"), F.count(F.lit(1)).alias("reviews"))
+    rows = items(spark, sf).join(rated, "item_id").withColumnRenamed("item_id", "id")
+    labels = features.feature_matrix(items(spark, sf), reviews(spark, sf)).select("id", "label")
+    return rounded(features.cluster_profile(rows, labels), "stars", "reviews", "share", digits=8)
+
+
+@query("clu7_cluster_sums", f"WITH {LONG} SELECT p.label, CAST(i AS INTEGER) AS i, count(*) AS n, round(sum(x), 8) AS s, round(sum(x * x), 8) AS q FROM long JOIN points p USING (id) GROUP BY ALL")
+def cluster_sums(spark: SparkSession, sf: str) -> DataFrame:
+    rows = points(spark, sf)
+    return rounded(bfr.summaries(rows, rows), "s", "q", digits=8)
+
+
+@query("clu6_mahalanobis", f"""WITH {LONG}, s AS (SELECT p.label, i, count(*) AS n, avg(x) AS m, avg(x * x) - avg(x) * avg(x) AS v FROM long JOIN points p USING (id) GROUP BY ALL)
+SELECT id, s.label, round(CASE WHEN any_value(n) <= 1 THEN 'inf'::DOUBLE ELSE sqrt(sum((x - m) * (x - m) / CASE WHEN v <= 0 THEN 1e-6 ELSE v END)) END, 5) AS distance FROM long JOIN s USING (i) GROUP BY id, s.label""")
+def mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
+    rows = points(spark, sf)
+    return rounded(bfr.mahalanobis(rows, bfr.summaries(rows, rows)), "distance", digits=5)
+
+
+@query("clu5_bfr")
+def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return bfr.bfr(points(spark, sf), 10, threshold=12.0)
+
+
+@query("clu2_elbow")
+def elbow(spark: SparkSession, sf: str) -> DataFrame:
+    return clu.elbow(points(spark, sf), range(5, 50, 5))
+
+
+@query("met6_silhouette_by_k")
+def silhouette_by_k(spark: SparkSession, sf: str) -> DataFrame:
+    return clu.silhouette_by_k(points(spark, sf), range(2, 11), {"cure": clu.cure, "bfr": lambda rows, k: bfr.bfr(rows, k, threshold=12.0)})

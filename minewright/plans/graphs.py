@@ -195,3 +195,20 @@ def top_items(spark: SparkSession, sf: str) -> DataFrame:
     # Names are known for half of the items, so that the default is met.
     parts = table(spark, sf, "part").where("p_partkey % 2 = 0")
     return graph.top_nodes(scores, parts.select(F.concat(F.lit("P_"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_name").alias("name")))
+
+
+def sweep_sql(start: str, name: str) -> str:
+    return unrolled(
+        f"SELECT node AS source, node, 0 AS distance FROM {start}",
+        "SELECT source, node, min(distance) AS distance FROM (SELECT * FROM {prev} UNION ALL SELECT source, dst, distance + 1 FROM {prev} JOIN links ON src = node) GROUP BY source, node",
+        16,
+        name,
+    )
+
+
+@query("gra9_diameter", f"""WITH {EDGES_SQL}, {LINKS_SQL}, drawn AS (SELECT node FROM nodes ORDER BY md5('42_' || node), node LIMIT 10),
+{sweep_sql("drawn", "s")}, ends AS MATERIALIZED (SELECT DISTINCT node FROM (SELECT node, row_number() OVER (PARTITION BY source ORDER BY distance DESC, node DESC) AS r FROM s16) WHERE r = 1),
+{sweep_sql("ends", "t")}
+SELECT CAST(max(distance) AS INTEGER) AS diameter FROM t16""")
+def diameter(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(graph.diameter(five_star(spark, sf), method="approximate"),)], "diameter int")

@@ -191,3 +191,51 @@ def random(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
 ACTIVE = "active AS (SELECT user_id FROM ratings GROUP BY 1 HAVING count(*) >= 4 ORDER BY user_id LIMIT 100)"
 for _name, _plan in {"rec1_random_topk": random, "rec13_content_topk": content, "rec15_hybrid_topk": hybrid}.items():
     query(f"{_name}_all_users", ORACLE_SQL[_name].replace(ACTIVE, "active AS (SELECT DISTINCT user_id FROM ratings)"))(partial(_plan, every=True))
+
+
+@query("rec2_popularity_rating", f"""WITH {RATINGS_SQL}, {HOLDOUT} SELECT user_id, item_id, round(coalesce((SELECT avg(stars) FROM ratings r WHERE r.item_id = h.item_id AND NOT EXISTS (SELECT 1 FROM hidden x WHERE x.user_id = r.user_id AND x.item_id = r.item_id)), 3.0), 8) AS prediction FROM hidden h""")
+def popularity_rating(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ratings(spark, sf)
+    pairs = rec.holdout(rows).select("user_id", "item_id")
+    return rounded(rec.popularity_rating(pairs, rows.join(pairs, ["user_id", "item_id"], "left_anti")), "prediction", digits=8)
+
+
+@query("rec14_content_rating", f"""WITH {RATINGS_SQL}, {HOLDOUT}, {TFIDF}, {PROFILE}, {CONTENT}
+SELECT h.user_id, h.item_id, round(greatest(1, least(5, 3 + 2 * coalesce(c.score, 0))), 8) AS prediction FROM hidden h LEFT JOIN content c ON c.user_id = h.user_id AND c.item_id = h.item_id""")
+def content_rating(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, _, text = target_scores(spark, sf)
+    return rounded(rec.content_rating(rec.holdout(rows).select("user_id", "item_id"), text), "prediction", digits=8)
+
+
+CENTRED = """raw_profile AS (SELECT user_id, term, sum((stars - 3) * weight) AS w FROM train SEMI JOIN people USING (user_id) JOIN vectors USING (item_id) GROUP BY user_id, term),
+profile AS MATERIALIZED (SELECT user_id, term, CASE WHEN n > 0 THEN w / n ELSE 0 END AS weight FROM raw_profile JOIN (SELECT user_id, sqrt(sum(w * w)) AS n FROM raw_profile GROUP BY 1) USING (user_id))"""
+LOT = "md5('42_' || user_id || '_' || item_id)"
+
+
+@query("rec19_evaluation", f"""WITH {RATINGS_SQL}, {HOLDOUT}, train AS MATERIALIZED (SELECT user_id, item_id, stars FROM ratings ANTI JOIN hidden USING (user_id, item_id)), people AS MATERIALIZED (SELECT DISTINCT user_id FROM hidden),
+{USER_SCORES.replace("ratings", "train").replace("<= 10)", "<= 20)")}, {TFIDF}, {CENTRED}, {CONTENT.replace("active", "people").replace("GROUP BY 1)", "GROUP BY 1 HAVING sum(weight * weight) > 0)")},
+cf AS (SELECT user_id, item_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-9) AS c FROM scores SEMI JOIN people USING (user_id) WHERE score > 0 WINDOW w AS (PARTITION BY user_id)),
+mix AS (SELECT user_id, item_id, round(0.85 * coalesce(c, 0) + 0.15 * (coalesce(score, 0) + 1) / 2, 8) AS score FROM (SELECT user_id, item_id FROM people CROSS JOIN items) LEFT JOIN cf USING (user_id, item_id) LEFT JOIN content USING (user_id, item_id) ANTI JOIN train USING (user_id, item_id)),
+sold AS (SELECT item_id, count(*) AS n FROM train GROUP BY 1), unseen AS (SELECT user_id, item_id, n FROM people CROSS JOIN sold ANTI JOIN train USING (user_id, item_id)),
+lists AS MATERIALIZED (SELECT 'hybrid' AS model, user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM mix QUALIFY rank <= 30
+  UNION ALL SELECT 'popularity', user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item_id) AS rank FROM unseen QUALIFY rank <= 30
+  UNION ALL SELECT 'random', user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {LOT}, item_id) AS rank FROM unseen QUALIFY rank <= 30),
+guesses AS (SELECT h.user_id, h.item_id, h.stars, greatest(1, least(5, 3 + 2 * coalesce(t.score, 0))) AS text, s.score AS c,
+  coalesce((SELECT avg(stars) FROM train r WHERE r.item_id = h.item_id), 3.0) AS mean, 1 + 4 * (CAST('0x' || substr(md5('42_' || h.user_id || '_' || h.item_id), 1, 8) AS BIGINT) / 4294967296.0) AS luck
+  FROM hidden h LEFT JOIN scores s ON s.user_id = h.user_id AND s.item_id = h.item_id LEFT JOIN content t ON t.user_id = h.user_id AND t.item_id = h.item_id),
+gaps AS (SELECT 'hybrid' AS model, user_id, stars - CASE WHEN c > 0 THEN greatest(1, least(5, 0.85 * c + 0.15 * text)) ELSE text END AS g FROM guesses
+  UNION ALL SELECT 'popularity', user_id, stars - mean FROM guesses UNION ALL SELECT 'random', user_id, stars - luck FROM guesses),
+wrong AS (SELECT model, user_id, sqrt(avg(g * g)) AS rmse, avg(abs(g)) AS mae FROM gaps GROUP BY ALL),
+sizes AS (SELECT user_id, count(*) AS size FROM hidden GROUP BY 1),
+found AS (SELECT model, user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS gain FROM hidden JOIN lists USING (user_id, item_id) GROUP BY ALL),
+counts AS (SELECT item_id, count(*) AS n FROM ratings GROUP BY 1),
+rare AS (SELECT model, user_id, avg(coalesce(-log2(n / (SELECT count(DISTINCT user_id) FROM ratings)), 0)) AS novelty FROM lists LEFT JOIN counts USING (item_id) GROUP BY ALL),
+apart AS (SELECT model, user_id, avg(d) AS diversity FROM (SELECT a.model, a.user_id, a.item_id, b.item_id AS other, 1 - coalesce(sum(v.weight * w.weight), 0) AS d
+  FROM lists a JOIN lists b ON a.model = b.model AND a.user_id = b.user_id AND a.item_id < b.item_id LEFT JOIN vectors v ON v.item_id = a.item_id LEFT JOIN vectors w ON w.item_id = b.item_id AND w.term = v.term GROUP BY ALL) GROUP BY ALL)
+SELECT model, count(*) AS users, round(avg(coalesce(hits, 0) / 30.0), 8) AS precision, round(avg(coalesce(hits, 0) / size), 8) AS recall,
+round(avg(coalesce(gain, 0) / list_sum(list_transform(range(1, least(30, size) + 1), lambda i: 1 / log2(i + 1)))), 8) AS ndcg,
+round(avg(rmse), 8) AS rmse, round(avg(mae), 8) AS mae, round(avg(coalesce(novelty, 0)), 8) AS novelty, round(avg(coalesce(diversity, 0)), 8) AS diversity
+FROM sizes JOIN wrong USING (user_id) LEFT JOIN found USING (model, user_id) LEFT JOIN rare USING (model, user_id) LEFT JOIN apart USING (model, user_id) GROUP BY model""")
+def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ratings(spark, sf)
+    return rounded(rec.evaluate(rec.holdout(rows), rows, items(spark, sf)), *rec.MEASURES, digits=8)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from minewright.operators import clustering, eda, graph, recommend
+from minewright.operators import bfr, clustering, eda, graph, recommend
 from minewright.operators.components import connected_components
 from minewright.operators.decomposition import Svd
 from minewright.plans import registry
@@ -256,3 +256,63 @@ def test_features_align_by_id(spark):
     assert {r.id: r.v for r in features.concatenate(one, two, 2).collect()} == {1: [1.0, 0.0, 0.0], 2: [2.0, 5.0, 6.0]}
     said = spark.sql("SELECT map('a', 'True', 'b', 'False', 'c', 'free', 'd', null) AS m")
     assert sorted(said.select(features.attribute_tokens(said.m).alias("t")).first().t) == ["a", "c_free"]
+
+
+def blobs(n=200, seed=3):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(c, 1.0, (n, 2)) for c in ((0, 0), (40, 0), (0, 40))])
+
+
+def test_bfr_finds_blobs_in_any_order(spark):
+    x = blobs()
+    far = [[500.0, 500.0]]
+    df = points(spark, [*x, *far])
+    got = {r.id: r.label for r in bfr.bfr(df, 3, threshold=5.0).collect()}
+    assert len(got) == len(x) + 1
+    for b in range(3):
+        inside = [got[i] for i in range(200 * b, 200 * b + 200)]
+        assert max(inside.count(v) for v in set(inside)) >= 198
+    assert len({got[10], got[210], got[410]}) == 3
+    again = {r.id: r.label for r in bfr.bfr(df.repartition(7), 3, threshold=5.0).collect()}
+    assert again == got
+    assert {r.label for r in bfr.bfr(points(spark, x[:2]), 3).collect()} == {-1}
+    assert bfr.bfr(points(spark, x).limit(0), 3).count() == 0
+
+
+def test_bfr_makes_clusters_of_what_the_sample_missed(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1.0, (300, 2)), rng.normal(60, 0.01, (12, 2))])
+    got = {r.id: r.label for r in bfr.bfr(points(spark, x), 1, threshold=5.0, micro=2, sample_size=8).collect()}
+    late = {got[i] for i in range(300, 312)}
+    assert len(late) == 1 and late.isdisjoint({got[i] for i in range(300)}) and -1 not in late
+
+
+def test_summaries_add_up_and_measure(spark):
+    x = blobs(20)
+    own = np.repeat(np.arange(3), 20)
+    whole = bfr.Summary.of(x, own, 3)
+    halves = bfr.Summary.of(x[::2], own[::2], 3) + bfr.Summary.of(x[1::2], own[1::2], 3)
+    assert np.allclose(whole.q, halves.q) and np.allclose(whole.s, halves.s) and (whole.n == halves.n).all()
+    df, labels = points(spark, x), spark.createDataFrame([(i, int(c)) for i, c in enumerate(own)], "id long, label int")
+    want = whole.distances(x)
+    for r in bfr.mahalanobis(df, bfr.summaries(df, labels)).collect():
+        assert r.distance == pytest.approx(want[r.id, r.label])
+    assert np.isinf(bfr.Summary.of(x[:1], own[:1], 1).distances(x)).all()
+
+
+def test_searches_for_k(spark):
+    df = points(spark, blobs(40))
+    fall = {r.k: r.inertia for r in clustering.elbow(df, [1, 2, 3], n_init=2).collect()}
+    assert fall[1] > fall[2] > 10 * fall[3]
+    rows = clustering.silhouette_by_k(df, [2, 3, 4], {"cure": clustering.cure, "bfr": lambda d, k: bfr.bfr(d, k, threshold=5.0)}).collect()
+    assert {(r.method, r.k) for r in rows if r.best} == {("cure", 3), ("bfr", 3)}
+
+
+def test_evaluation_of_odd_input(spark):
+    rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, 1.0), (2, 1, 4.0), (2, 3, 2.0)], "user_id long, item_id long, stars double")
+    things = spark.createDataFrame([(1, "a, b"), (2, "b"), (3, None)], "item_id long, categories string")
+    got = {r.model: r for r in recommend.evaluate(rows.where("user_id = 1 and item_id = 1"), rows, things, k=2).collect()}
+    # Item 1 is the only one but item 3 that user 1 hasn't rated in the rest, and its mean there is 4.
+    assert got["popularity"].users == 1 and got["popularity"].recall == 1 and got["popularity"].rmse == pytest.approx(1)
+    assert got["hybrid"].precision == pytest.approx(0.5) and got["random"].recall == 1
+    assert [r.users for r in recommend.evaluate(rows.limit(0), rows, things).collect()] == [0, 0, 0]
