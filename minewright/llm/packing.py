@@ -39,13 +39,21 @@ SEND_TOKENS = 1 << 18
 MEMO_WORDS = 1 << 19
 MEMO_BYTES = 16 << 20
 
+#: Words encoded by one call.
+GROUP = 64
+#: Bytes between which words may part: letters and digits, and punctuation but the apostrophe.
+SAID = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+MARKS = np.array([0x20 < b < 0x7F and not chr(b).isalnum() and chr(b) != "'" for b in range(256)])
+
 
 class WordTokenizer:
     """Ids of whole texts from the ids of their words between ASCII white space.
 
     Right for tokenizers that never join characters across white space and
-    drop it. Each different word is encoded once for each task; a word is
-    known by its bytes, and its hash only says where to look.
+    drop it. Words also part between an ASCII letter or digit and ASCII
+    punctuation, but for the apostrophe, if the tokenizer is seen to do so
+    itself. Each different word is encoded once for each task; a word is known
+    by its bytes, and its hash only says where to look.
     """
 
     def __init__(self, definition: str):
@@ -53,8 +61,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # No cut may lie within a token that the tokenizer finds before it splits texts.
+        whole = {c for x in self.tokenizer.get_added_tokens_decoder().values() for c in x.content}
+        marks = MARKS & ~np.array([chr(b) in whole for b in range(256)])
+        self.cut = (SAID, marks) if self._parts_marks(marks) else None
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
         self.clear()
 
+    def _parts_marks(self, marks: np.ndarray) -> bool:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        tails = [a + b + c for a in map(chr, np.flatnonzero(marks)) for b in ("", *map(chr, np.flatnonzero(marks)), "'") for c in ("", "s")]
+        # Were a tail joined with what stands before it, its ids would differ.
+        return all(ids(head + tail) == ids(head) + ids(tail) for head in ("the", "K", "7") for tail in tails)
+
     def clear(self) -> None:
         self.words = np.empty(0, np.uint64)
         self.begin = self.count = self.said = self.size = np.empty(0, np.int64)
@@ -65,9 +85,28 @@ class WordTokenizer:
         """Ids of the words at the given places, and how many each has."""
         raw = w.data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(count.sum())), count
+        ids, count = np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        plain = [i for i, x in enumerate(texts) if self.bar is not None and "|" not in x]
+        # Words go in groups with a bar behind each, whose id tells where each ends.
+        groups = [" | ".join([texts[i] for i in plain[a : a + GROUP]]) + " |" for a in range(0, len(plain), GROUP)]
+        if groups:
+            got = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+            ends = np.flatnonzero(got == self.bar)
+            if len(ends) == len(plain):
+                ids, count[plain] = got[got != self.bar], np.diff(ends, prepend=-1) - 1
+            else:
+                plain = []
+        if len(plain) == len(texts):
+            return ids, count
+        # The others go one by one, and all are put in order.
+        alone = np.ones(len(texts), bool)
+        alone[plain] = False
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in np.flatnonzero(alone).tolist()], add_special_tokens=False)]
+        count[alone] = [len(x) for x in got]
+        out = np.empty(int(count.sum()), np.uint32)
+        mine = np.repeat(alone, count)
+        out[mine], out[~mine] = [i for x in got for i in x], ids
+        return out, count
 
     def _learn(self, w: tc.Words, fresh: np.ndarray) -> None:
         ids, count = self._encode(w, fresh)
@@ -88,7 +127,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after another, and where each begins."""
-        w = tc.words(texts)
+        w = tc.words(texts, cut=self.cut)
         if len(self.words) > MEMO_WORDS or len(self.bytes) > MEMO_BYTES:
             self.clear()
         first, back = w.distinct()

@@ -93,19 +93,23 @@ class Words:
     bounds: the same for bytes.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, word_bytes: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, word_bytes: np.ndarray, lower: bool, cut: tuple[np.ndarray, np.ndarray] | None = None):
         self.data = LOWER[data] if lower else data
         self.bounds = bounds
         inside = word_bytes[self.data]
         n = len(inside)
         first = inside.copy()
         first[1:] &= ~inside[:-1]
-        cut = bounds[:-1][bounds[:-1] < n]
-        first[cut] = inside[cut]
+        at = bounds[:-1][bounds[:-1] < n]
+        first[at] = inside[at]
         last = inside.copy()
         last[:-1] &= ~inside[1:]
-        cut = bounds[1:][bounds[1:] > 0] - 1
-        last[cut] = inside[cut]
+        at = bounds[1:][bounds[1:] > 0] - 1
+        last[at] = inside[at]
+        if cut is not None:
+            part = inside[:-1] & cut[0][self.data[:-1]] & inside[1:] & cut[1][self.data[1:]]
+            first[1:] |= part
+            last[:-1] |= part
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.docs = np.searchsorted(self.starts, bounds)
@@ -254,9 +258,10 @@ def chunks(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK_
     trim()
 
 
-def words(texts: pa.Array, word_bytes: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
+def words(texts: pa.Array, word_bytes: np.ndarray = NON_SPACE, lower: bool = False, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """The words of texts; cut: byte tables (left, right), where words part between such bytes too."""
     data, bounds = text_bytes(texts)
-    return Words(data, bounds, word_bytes, lower)
+    return Words(data, bounds, word_bytes, lower, cut)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

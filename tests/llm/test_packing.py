@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,18 @@ def test_combinations_fill_windows():
     assert all(int(sizes[w].sum()) <= 4096 and len(w) <= 3 for w in windows)
     pieces = packing.pack(sizes)
     assert sum(p[2] for p in pieces) == sizes.sum()
+
+
+def test_ids_of_words_with_marks_are_the_tokenizers():
+    rng = np.random.default_rng(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "endoftext|>", "|", "||", "'s", "'", "don't", "x", "Word", "7", "12", ".", ",", "$$$", "=", "\u0338", "H\u0331", "é", "É", "\u0301", "漢", "😀", " ", "\n", "\u00a0", "\x00", "#", "\u037e", "İ", "Σ"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(4000)]
+    encoder = packing.WordTokenizer(open(PATH, encoding="utf-8").read())
+    assert encoder.cut is not None
+    ids, at = encoder.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == ids_of_plain(encoder, text), repr(text)
+
+
+def ids_of_plain(encoder, text):
+    return encoder.tokenizer.encode(text, add_special_tokens=False).ids
