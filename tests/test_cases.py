@@ -3,12 +3,13 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from minewright.operators import bfr, clustering, eda, graph, recommend
+from minewright.operators import bfr, blocks, clustering, eda, graph, recommend
 from minewright.operators.components import connected_components
 from minewright.operators.decomposition import Svd
 from minewright.plans import registry
@@ -316,3 +317,48 @@ def test_evaluation_of_odd_input(spark):
     assert got["popularity"].users == 1 and got["popularity"].recall == 1 and got["popularity"].rmse == pytest.approx(1)
     assert got["hybrid"].precision == pytest.approx(0.5) and got["random"].recall == 1
     assert [r.users for r in recommend.evaluate(rows.limit(0), rows, things).collect()] == [0, 0, 0]
+
+
+def some_ratings(spark, users=70, items=40, n=900, seed=6):
+    """(table, stars as a matrix, 0 where unrated)."""
+    rng = np.random.default_rng(seed)
+    stars = np.zeros((users, items))
+    stars[rng.integers(users, size=n), rng.integers(items, size=n)] = rng.integers(1, 6, size=n)
+    return spark.createDataFrame([(int(u), int(i), float(stars[u, i])) for u, i in np.argwhere(stars)], "user_id long, item_id long, stars double"), stars
+
+
+def nearest(vectors, has, k):
+    """{a: [(b, sim)]} by brute force."""
+    norm = np.sqrt((vectors * vectors).sum(1))
+    sim = np.round(vectors @ vectors.T / np.outer(norm, norm), 8)
+    return {a: sorted(((b, sim[a, b]) for b in range(len(sim)) if b != a and has[a] @ has[b] and sim[a, b] > 0), key=lambda x: (-x[1], x[0]))[:k] for a in range(len(sim))}
+
+
+def near_rows(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.a, []).append((r.b, r.sim))
+    return {a: sorted(x, key=lambda x: (-x[1], x[0])) for a, x in out.items()}
+
+
+@pytest.mark.parametrize("dense", [1 << 18, 1])
+def test_neighbours_meet_in_blocks_and_not_in_a_join(spark, monkeypatch, dense):
+    monkeypatch.setattr(blocks, "LEAST", 60)
+    rows, stars = some_ratings(spark)
+    if dense == 1:  # the path for wide and thin products
+        rows, stars = some_ratings(spark, 400, 300, 500)
+    for by, across, m in (("user_id", "item_id", stars), ("item_id", "user_id", stars.T)):
+        for metric in ("cosine", "pearson"):
+            mean = m.sum(1) / np.maximum((m > 0).sum(1), 1)
+            v = np.where(m > 0, m - mean[:, None], 0) if metric == "pearson" else m
+            with np.errstate(invalid="ignore", divide="ignore"):
+                want = {a: x for a, x in nearest(v, (m > 0).astype(int), 4).items() if x}
+            got = recommend.neighbours(rows, by, across, metric, 4)
+            assert not re.search(r"Join \[x#", got._jdf.queryExecution().executedPlan().toString())
+            got = near_rows(got)
+            assert got.keys() == want.keys()
+            for a in want:
+                assert [b for b, _ in got[a]] == [b for b, _ in want[a]] and [s for _, s in got[a]] == pytest.approx([s for _, s in want[a]], abs=2e-8)
+    only = spark.createDataFrame([(3,), (44,), (999,)], "user_id long")
+    assert near_rows(recommend.neighbours(rows, only=only)) == {a: x for a, x in near_rows(recommend.neighbours(rows)).items() if a in (3, 44)}
+    assert recommend.neighbours(rows.limit(0)).count() == 0
