@@ -362,3 +362,15 @@ def test_neighbours_meet_in_blocks_and_not_in_a_join(spark, monkeypatch, dense):
     only = spark.createDataFrame([(3,), (44,), (999,)], "user_id long")
     assert near_rows(recommend.neighbours(rows, only=only)) == {a: x for a, x in near_rows(recommend.neighbours(rows)).items() if a in (3, 44)}
     assert recommend.neighbours(rows.limit(0)).count() == 0
+
+
+def test_scores_of_some_users_and_pairs_are_those_of_all(spark):
+    rows, _ = some_ratings(spark)
+    some = spark.createDataFrame([(3, 1), (3, 39), (44, 0), (44, 7)], "user_id long, item_id long")
+    every = {(r.user_id, r.item_id): r.score for r in recommend.user_scores(rows).where("user_id IN (3, 44)").collect()}
+    assert {(r.user_id, r.item_id): r.score for r in recommend.user_scores(rows, only=some).collect()} == pytest.approx(every)
+    vectors = recommend.tfidf(spark.createDataFrame([(i, f"a{i % 3}, b{i % 5}, c") for i in range(39)], "item_id long, categories string"))
+    profile = recommend.user_profile(rows, vectors, centred=True)
+    all_pairs = recommend.content_scores(profile, vectors).join(some, ["user_id", "item_id"])
+    got = recommend.content_scores(profile, vectors, some)
+    assert {(r.user_id, r.item_id): r.score for r in got.collect()} == pytest.approx({(r.user_id, r.item_id): r.score for r in all_pairs.collect()}) and got.count() == 3
