@@ -374,3 +374,43 @@ def test_scores_of_some_users_and_pairs_are_those_of_all(spark):
     all_pairs = recommend.content_scores(profile, vectors).join(some, ["user_id", "item_id"])
     got = recommend.content_scores(profile, vectors, some)
     assert {(r.user_id, r.item_id): r.score for r in got.collect()} == pytest.approx({(r.user_id, r.item_id): r.score for r in all_pairs.collect()}) and got.count() == 3
+
+
+def item_based(stars, k, k_nn):
+    """(user, item, score, rank) by brute force."""
+    norm = np.sqrt((stars * stars).sum(0))
+    norm[norm == 0] = 1e-9
+    sim = np.round(stars.T @ stars / np.outer(norm, norm), 8)
+    np.fill_diagonal(sim, 0)
+    out = []
+    for user, row in enumerate(stars):
+        rated = np.flatnonzero(row)
+        found = []
+        for item in np.flatnonzero(row == 0):
+            near = sorted(((-sim[i, item], i) for i in rated if sim[i, item] > 0))[:k_nn]
+            if near:
+                found.append((-round(sum(-s * row[i] for s, i in near) / sum(-s for s, _ in near), 8), item))
+        out += [(user, item, -s, rank) for rank, (s, item) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("negative", [False, True])
+def test_item_lists_score_in_blocks_and_not_by_joins(spark, monkeypatch, negative):
+    monkeypatch.setattr(blocks, "RANGE", 150)
+    monkeypatch.setattr(blocks, "SEGMENT", 7)
+    _, stars = some_ratings(spark)
+    if negative:  # bounds by the rated items don't hold
+        stars = np.where(stars == 2, -1.0, stars)
+    rows = spark.createDataFrame([(int(u), int(i), float(stars[u, i])) for u, i in np.argwhere(stars)], "user_id long, item_id long, stars double")
+    got = recommend.item_topk(rows, 4, 3)
+    assert not re.search(r"Join \[(item_id|candidate)#|Window", got._jdf.queryExecution().executedPlan().toString())
+    got, want = sorted(got.collect(), key=lambda r: (r.user_id, r.rank)), item_based(stars, 4, 3)
+    assert [(r.user_id, r.rank) for r in got] == [(u, rank) for u, _, _, rank in want]
+    assert [r.score for r in got] == pytest.approx([s for _, _, s, _ in want], abs=2e-8)
+    assert [r.item_id for r in got] == [i for _, i, _, _ in want]
+    assert recommend.item_topk(rows.limit(0)).count() == 0
+
+
+def test_item_based_query_sends_lists_alone(spark):
+    plan = registry.QUERIES["rec7_cf_item_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
