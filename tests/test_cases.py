@@ -414,3 +414,25 @@ def test_item_lists_score_in_blocks_and_not_by_joins(spark, monkeypatch, negativ
 def test_item_based_query_sends_lists_alone(spark):
     plan = registry.QUERIES["rec7_cf_item_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 64])
+def test_content_lists_of_everyone_are_those_of_all_pairs(spark, monkeypatch, cells):
+    rows, _ = some_ratings(spark)
+    # Many equal texts, one that shares no term, one empty, one null, and two rated items that are no items.
+    texts = [(i, f"a{i % 3}, b{i % 4}, c{i % 2}") for i in range(35)] + [(35, "z"), (36, ""), (37, None)] + [(i, f"a{i % 3}, y{i}") for i in range(100, 110)]
+    things = spark.createDataFrame(texts, "item_id long, categories string")
+    vectors = recommend.tfidf(things)
+    want = recommend.ranked(recommend.content_scores(recommend.user_profile(rows, vectors), vectors), "user_id", "score", "item_id", 4)
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    got = recommend.content_topk(rows, things, 4)
+    assert not re.search(r"Join \[term#|Window", got._jdf.queryExecution().executedPlan().toString())
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, round(r.score, 7)) for r in df.collect())
+    assert key(got) == key(want)
+    assert recommend.content_topk(rows.limit(0), things).count() == 0
+    assert recommend.content_topk(rows, things.limit(0)).count() == 0
+
+
+def test_content_query_for_everyone_joins_no_terms(spark):
+    plan = registry.QUERIES["rec13_content_topk_all_users"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
