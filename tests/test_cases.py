@@ -436,3 +436,23 @@ def test_content_lists_of_everyone_are_those_of_all_pairs(spark, monkeypatch, ce
 def test_content_query_for_everyone_joins_no_terms(spark):
     plan = registry.QUERIES["rec13_content_topk_all_users"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_hybrid_lists_of_everyone_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "RANGE", 150)
+    _, stars = some_ratings(spark, 70, 40, 500)
+    stars[60:, :] = 0
+    stars[60, :2] = stars[61, 1:3] = 4  # few neighbours
+    stars[62, 38] = 5  # none: nobody else has it
+    stars[:62, 38] = 0
+    rows = spark.createDataFrame([(int(u), int(i), float(stars[u, i])) for u, i in np.argwhere(stars)], "user_id long, item_id long, stars double")
+    texts = [(i, f"a{i % 3}, b{i % 4}, c{i % 2}") for i in range(35)] + [(35, "z"), (36, ""), (37, None)] + [(i, f"a{i % 3}, y{i}") for i in range(100, 103)]
+    things = spark.createDataFrame(texts, "item_id long, categories string")
+    vectors, users = recommend.tfidf(things), rows.select("user_id").distinct()
+    content = recommend.content_scores(recommend.user_profile(rows, vectors), vectors)
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, round(r.score, 7)) for r in df.collect())
+    for k in (3, 30):
+        want = recommend.unseen_topk(recommend.hybrid_scores(recommend.user_scores(rows, 4), content, users, things, 0.85, 0.15), rows, k)
+        assert key(recommend.hybrid_topk(rows, things, k, 4, 0.85, 0.15)) == key(want)
+    assert recommend.hybrid_topk(rows.limit(0), things).count() == 0
+    assert recommend.hybrid_topk(rows, things.limit(0)).count() == 0
