@@ -456,3 +456,25 @@ def test_hybrid_lists_of_everyone_are_those_of_all_pairs(spark, monkeypatch):
         assert key(recommend.hybrid_topk(rows, things, k, 4, 0.85, 0.15)) == key(want)
     assert recommend.hybrid_topk(rows.limit(0), things).count() == 0
     assert recommend.hybrid_topk(rows, things.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("directed, nodes", [(False, 1), (True, 7)])
+def test_pagerank_in_blocks_is_power_iteration(spark, monkeypatch, directed, nodes):
+    monkeypatch.setattr(graph, "NODES", nodes)  # 40 blocks of one node come in two parts
+    monkeypatch.setattr(graph, "LINKS", 1)
+    rng = random.Random(3)
+    # Links in both directions, loops and repeats; nodes without links out when directed.
+    pairs = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(40):02}") for _ in range(120)] + [("n01", "n39"), ("n39", "n01"), ("n02", "n02")] * 2
+    names = sorted({x for p in pairs for x in p})
+    a = np.zeros((len(names),) * 2)
+    for s, d in pairs:
+        a[names.index(s), names.index(d)] = 1
+    a = a if directed else np.maximum(a, a.T)
+    n, out = len(names), a.sum(1)
+    step = np.where(out[:, None] > 0, a / np.maximum(out, 1)[:, None], 1 / n)
+    want = np.full(n, 1 / n)
+    for _ in range(3):
+        want = 0.15 / n + 0.85 * want @ step
+    got = {r.node: r.score for r in graph.pagerank(edges(spark, *pairs), directed, max_iter=3, tol=None).collect()}
+    assert [got[x] for x in names] == pytest.approx(want, abs=1e-12) and len(got) == n
+    assert graph.pagerank(edges(spark, ("n1", "n2")).limit(0)).count() == 0
