@@ -478,3 +478,20 @@ def test_pagerank_in_blocks_is_power_iteration(spark, monkeypatch, directed, nod
     got = {r.node: r.score for r in graph.pagerank(edges(spark, *pairs), directed, max_iter=3, tol=None).collect()}
     assert [got[x] for x in names] == pytest.approx(want, abs=1e-12) and len(got) == n
     assert graph.pagerank(edges(spark, ("n1", "n2")).limit(0)).count() == 0
+
+
+def test_silhouettes_of_many_labellings_take_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TILE", 10)  # blocks of 40 rows
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)) + 100.0
+    x[40:50] = x[30:40]  # equal vectors
+    x[50:60] = x[60:70] + 1e-7  # near ones
+    labels = np.stack([rng.integers(-1, 3, 90), rng.integers(0, 4, 90), np.r_[5, np.zeros(89)], np.r_[-1, np.zeros(89)], np.zeros(90), np.full(90, -1), np.r_[np.full(89, -1), 2]], 1).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), l.tolist()) for i, (v, l) in enumerate(zip(x, labels))], "id long, v array<double>, labels array<int>")
+    want = [clustering.silhouette(df.selectExpr("id", "v", f"labels[{r}] AS label")).first()[0] for r in range(labels.shape[1])]
+    passes = []
+    monkeypatch.setattr(clustering, "compare_all", lambda *a, f=clustering.compare_all: passes.append(1) or f(*a))
+    assert clustering.silhouettes(df, labels.shape[1]) == [w if w is None else pytest.approx(w, abs=1e-9) for w in want]
+    rows = clustering.silhouette_by_k(df, [0, 1], {"a": lambda d, k: df.selectExpr("id", f"labels[{k}] AS label")}).collect()
+    assert [r.silhouette for r in rows] == pytest.approx(want[:2], abs=1e-9) and [r.best for r in rows] == [w == max(want[:2]) for w in want[:2]]
+    assert len(passes) == 2
