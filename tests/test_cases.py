@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from minewright.operators import bfr, blocks, clustering, eda, graph, recommend
+from minewright.operators import bfr, blocks, clustering, eda, graph, recommend, slices
 from minewright.operators.components import connected_components
 from minewright.operators.decomposition import Svd
 from minewright.plans import registry
@@ -364,6 +364,26 @@ def test_neighbours_meet_in_blocks_and_not_in_a_join(spark, monkeypatch, dense):
     assert recommend.neighbours(rows.limit(0)).count() == 0
 
 
+def test_neighbours_of_ids_without_order_meet_in_packed_slices(spark, monkeypatch):
+    monkeypatch.setattr(slices, "ENTRIES", 200)
+    _, stars = some_ratings(spark)
+    rng = np.random.default_rng(9)
+    user, item = rng.permutation(stars.shape[0]) * 1000 - 7000, rng.permutation(stars.shape[1]) * 10**12
+    cells = [(int(u), int(i), None if (u + i) % 9 == 0 else float(stars[u, i])) for u, i in np.argwhere(stars)]
+    plain = spark.createDataFrame([(int(user[u]), int(item[i]), r) for u, i, r in cells], "user_id long, item_id long, stars double")
+    named = spark.createDataFrame([(f"u{user[u] + 10**6:09}", f"i{item[i]:015}", r) for u, i, r in cells], "user_id string, item_id string, stars double")
+    for metric in ("cosine", "pearson"):
+        everyone = plain.select("user_id").distinct()
+        want = near_rows(recommend.neighbours(plain, metric=metric, k=5, only=everyone))  # by lists of each item
+        got = recommend.neighbours(plain, metric=metric, k=5)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
+        assert near_rows(got) == want and len(want) == len(user)
+        assert near_rows(recommend.neighbours(named, metric=metric, k=5)) == {f"u{a + 10**6:09}": [(f"u{b + 10**6:09}", s) for b, s in x] for a, x in want.items()}
+    every = near_rows(recommend.neighbours(plain, k=None))
+    assert {a: x[:5] for a, x in every.items()} == near_rows(recommend.neighbours(plain, k=5))
+
+
 def test_scores_of_some_users_and_pairs_are_those_of_all(spark):
     rows, _ = some_ratings(spark)
     some = spark.createDataFrame([(3, 1), (3, 39), (44, 0), (44, 7)], "user_id long, item_id long")
