@@ -515,3 +515,9 @@ def test_silhouettes_of_many_labellings_take_one_pass(spark, monkeypatch):
     rows = clustering.silhouette_by_k(df, [0, 1], {"a": lambda d, k: df.selectExpr("id", f"labels[{k}] AS label")}).collect()
     assert [r.silhouette for r in rows] == pytest.approx(want[:2], abs=1e-9) and [r.best for r in rows] == [w == max(want[:2]) for w in want[:2]]
     assert len(passes) == 2
+
+
+@pytest.mark.parametrize("name", ["rec4_user_pearson", "rec5_item_cosine"])
+def test_similarity_queries_send_packed_slices_alone(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "collect_list" not in plan
