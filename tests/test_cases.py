@@ -521,3 +521,21 @@ def test_silhouettes_of_many_labellings_take_one_pass(spark, monkeypatch):
 def test_similarity_queries_send_packed_slices_alone(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("negative", [False, True])
+def test_user_lists_fetch_neighbours_in_packed_slices(spark, monkeypatch, negative):
+    monkeypatch.setattr(slices, "ENTRIES", 200)
+    _, stars = some_ratings(spark)
+    if negative:
+        stars = np.where(stars == 2, -1.0, stars)
+    stars[:, 5], stars[0, 5], stars[1, :] = 0, 4, 0
+    stars[1, 5] = 3  # shares one item with one user
+    item = np.random.default_rng(9).permutation(stars.shape[1]) * 10**7 - 50
+    rows = spark.createDataFrame([(int(u) * 7 % 997, int(item[i]), float(stars[u, i])) for u, i in np.argwhere(stars)], "user_id long, item_id long, stars double")
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, round(r.score, 7)) for r in df.collect())
+    got = recommend.user_topk(rows, 4, 3)
+    assert not re.search(r"Join \[(b|user_id)#|Window", got._jdf.queryExecution().executedPlan().toString())
+    assert key(got) == key(recommend.unseen_topk(recommend.user_scores(rows, 3), rows, 4))
+    texts = rows.select(rows.user_id.cast("string"), rows.item_id.cast("string"), "stars")
+    assert recommend.user_topk(texts, 4, 3).count() == got.count() and recommend.user_topk(rows.limit(0)).count() == 0
