@@ -539,3 +539,14 @@ def test_user_lists_fetch_neighbours_in_packed_slices(spark, monkeypatch, negati
     assert key(got) == key(recommend.unseen_topk(recommend.user_scores(rows, 3), rows, 4))
     texts = rows.select(rows.user_id.cast("string"), rows.item_id.cast("string"), "stars")
     assert recommend.user_topk(texts, 4, 3).count() == got.count() and recommend.user_topk(rows.limit(0)).count() == 0
+
+
+def test_hybrid_query_for_everyone_sends_packed_slices_alone(spark):
+    rows, _ = some_ratings(spark)
+    things = spark.createDataFrame([(i, f"a{i % 3}, b{i % 4}") for i in range(40)], "item_id long, categories string")
+    read = []
+    slices_topk, slices.hybrid_topk = slices.hybrid_topk, lambda *a: read.append(1) or slices_topk(*a)
+    try:
+        assert recommend.hybrid_topk(rows, things, 3, 4).count() and read
+    finally:
+        slices.hybrid_topk = slices_topk
